@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lorewell.llm.neardup",)
+MODULES = ("lorewell.llm.knn", "lorewell.llm.neardup")
 
 
 def queries() -> dict:
