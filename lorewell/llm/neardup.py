@@ -247,7 +247,7 @@ def similar_pairs(
     """(pairs of different texts, copies).
 
     pairs: (id_a, id_b, similarity), each text represented by the least id that has it.
-    copies: (id, rep) of every other record with the very same text.
+    copies: (id, rep) of every other record with the very same text, if it is long enough to take part.
     """
     rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("id").isNotNull() & (F.length("text") >= 2 * max(least_words, least_distinct) - 1))
@@ -266,20 +266,22 @@ def similar_pairs(
     agree = threshold + (1 - threshold) / 4
     most = int(64 - (64 * agree - SKETCH_DEVIATIONS * (64 * agree * (1 - agree)) ** 0.5))
     met = keyed.mapInArrow(partial(trie_pairs, most_disagreeing=most), "id_a long, id_b long")
-    met = checkpoint(met.where("id_a < id_b").distinct())
-    needed = met.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    sets = rows.dropDuplicates(["id"]).join(needed, "id").mapInArrow(
+    met, copies = checkpoint(met.where("id_a < id_b").distinct()), checkpoint(copies)
+    needed = met.select(F.explode(F.array("id_a", "id_b")).alias("id")).unionByName(copies.select(F.col("rep").alias("id"))).distinct()
+    sets = rows.join(needed, "id").mapInArrow(
         partial(_sets, run=run, least_words=least_words, least_distinct=least_distinct), "id long, runs binary"
     )
+    sets = checkpoint(sets.dropDuplicates(["id"]))
     both = (
         met.join(sets.select(F.col("id").alias("id_a"), F.col("runs").alias("x")), "id_a")
         .join(sets.select(F.col("id").alias("id_b"), F.col("runs").alias("y")), "id_b")
         .select("id_a", "id_b", "x", "y")
     )
-    return both.mapInArrow(partial(_verify, threshold=threshold), "id_a long, id_b long, similarity double"), copies
+    pairs = both.mapInArrow(partial(_verify, threshold=threshold), "id_a long, id_b long, similarity double")
+    return pairs, copies.join(sets.select(F.col("id").alias("rep")), "rep", "left_semi")
 
 
-def expand(pairs: DataFrame, copies: DataFrame, texts_at_least: DataFrame | None = None) -> DataFrame:
+def expand(pairs: DataFrame, copies: DataFrame) -> DataFrame:
     """All pairs of ids: those of representatives, those of their copies, and the copies among themselves."""
     members = copies.select("rep", "id").unionByName(copies.select("rep", F.col("rep").alias("id")).distinct())
     a, b = members.select(F.col("rep").alias("ra"), F.col("id").alias("ia")), members.select(F.col("rep").alias("rb"), F.col("id").alias("ib"))
@@ -288,8 +290,6 @@ def expand(pairs: DataFrame, copies: DataFrame, texts_at_least: DataFrame | None
         .select(F.coalesce("ia", "id_a").alias("a"), F.coalesce("ib", "id_b").alias("b"))
     )
     same = a.join(b, F.col("ra") == F.col("rb")).where("ia < ib").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
-    if texts_at_least is not None:
-        same = same.join(texts_at_least.select(F.col("id").alias("a")), "a", "left_semi")
     return wide.unionByName(same).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
 
@@ -329,16 +329,9 @@ def _file_names(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), stem.alias("text"))
 
 
-def _qualifying(texts: DataFrame, copies: DataFrame, rule: dict) -> DataFrame:
-    """Representatives of copies that are long enough to take part."""
-    reps = texts.join(copies.select(F.col("rep").alias("id")).unionByName(copies.select("id")).distinct(), "id").dropDuplicates(["id"])
-    arguments = {k: rule.get(k, 1) for k in ("run", "least_words", "least_distinct")}
-    return reps.select("id", "text").mapInArrow(partial(_sets, **arguments), "id long, runs binary").select("id")
-
-
 def _found(texts: DataFrame, rule: dict, entity: str) -> DataFrame:
     pairs, copies = similar_pairs(texts, "id", "text", **rule)
-    return expand(pairs, copies, _qualifying(texts, copies, rule)).select(F.lit(entity).alias("entity"), "id_a", "id_b")
+    return expand(pairs, copies).select(F.lit(entity).alias("entity"), "id_a", "id_b")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -350,7 +343,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def _grouped(texts: DataFrame, rule: dict, entity: str) -> DataFrame:
     pairs, copies = similar_pairs(texts, "id", "text", **rule)
     pairs = checkpoint(pairs)
-    links = pairs.select("id_a", "id_b").unionByName(copies.join(_qualifying(texts, copies, rule), "id", "left_semi").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b")))
+    links = pairs.select("id_a", "id_b").unionByName(copies.select(F.col("rep").alias("id_a"), F.col("id").alias("id_b")))
     degree = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     return (
         groups(links).join(degree, "id", "left")
