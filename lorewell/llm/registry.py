@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lorewell.llm.knn", "lorewell.llm.neardup", "lorewell.llm.packing", "lorewell.llm.mixing")
+MODULES = ("lorewell.llm.knn", "lorewell.llm.neardup", "lorewell.llm.packing", "lorewell.llm.mixing", "lorewell.llm.pii")
 
 
 def queries() -> dict:
