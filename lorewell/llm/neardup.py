@@ -36,7 +36,7 @@ from lorewell.session import checkpoint, table
 TRIES, DEPTH, BUCKET = 20, 3, 64
 HEAVY = 50_000
 SAMPLE_ONE_IN = 64
-SKETCH_DEVIATIONS = 3.7
+SKETCH_DEVIATIONS = 3.0
 WORD = re.compile(r"[^\W_]+")
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, size=(3, 64), dtype=np.uint64) | np.uint64(1)
 _U = np.uint64
