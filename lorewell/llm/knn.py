@@ -287,8 +287,8 @@ def linked_pairs(rows: DataFrame, *, least: float = LINK_COSINE, top: int = LINK
     vectors = without_surplus_copies(usable(rows), top)
     count = rows.count()
     cells = int(min(MOST_CELLS, max(1, count // cell_rows)))
-    want = min(count, SAMPLE_PER_CELL * max(cells, 64))
-    sample = usable(rows).withColumn("at", F.xxhash64("id")).orderBy("at").limit(int(want)).select("id", "v").toArrow()
+    share_taken = min(1.0, SAMPLE_PER_CELL * max(cells, 64) / max(count, 1))
+    sample = usable(rows).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share_taken * (1 << 30))).toArrow()
     parts = [unit_rows(b)[1] for b in sample.to_batches()] or [np.zeros((0, DIMENSIONS), np.float32)]
     points = np.concatenate(parts)
     if not len(points):
