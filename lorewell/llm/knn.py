@@ -117,35 +117,27 @@ def nearest_cells(x: np.ndarray, c: np.ndarray, probes: int) -> np.ndarray:
     return out
 
 
-def _fixed(rows: np.ndarray) -> pa.Array:
-    """Each row of a byte matrix as one binary value."""
-    rows = np.ascontiguousarray(rows)
-    n, width = rows.shape
-    offsets = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * width).tobytes())
-    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(rows.tobytes())])
+ROUTED = "key long, member boolean, rows binary"
+MEMBER = np.dtype([("id", "<i8"), ("scale", "<f4"), ("f", "<f4"), ("small", "i1", DIMENSIONS), ("code", "u1", BITS // 8)])
+QUERY = np.dtype([("id", "<i8"), ("scale", "<f4"), ("small", "i1", DIMENSIONS)])
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dtype: type, width: int) -> np.ndarray:
-    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(whole, pa.ChunkedArray):
-        whole = whole.chunk(0) if whole.num_chunks else pa.array([], pa.binary())
-    return np.frombuffer(b"".join(whole.to_pylist()), dtype=dtype).reshape(len(whole), -1)[:, :width]
-
-
-ROUTED = "cell int, bb int, qb int, member boolean, id long, scale float, f float, small binary, code binary"
+def _records(kind: np.dtype, **fields: np.ndarray) -> np.ndarray:
+    out = np.empty(len(fields["id"]), kind)
+    for name, values in fields.items():
+        out[name] = values
+    return out
 
 
-def _routed(cell, bb, qb, member: bool, ids, small, scale, code=None, f=None) -> pa.RecordBatch:
-    n = len(ids)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.asarray(cell, np.int32)), pa.array(np.asarray(bb, np.int32)), pa.array(np.asarray(qb, np.int32)),
-            pa.array(np.full(n, member)), pa.array(ids), pa.array(scale),
-            pa.array(f.astype(np.float32)) if member else pa.nulls(n, pa.float32()),
-            _fixed(small.view(np.uint8)), _fixed(code) if member else pa.nulls(n, pa.binary()),
-        ],
-        names=["cell", "bb", "qb", "member", "id", "scale", "f", "small", "code"],
-    )
+def _routed(cell, bb, qb, records: np.ndarray) -> pa.RecordBatch:
+    """The records that go to one block as one row: the bytes of a packed array."""
+    key = (np.asarray(cell, np.int64) << 36) | (np.asarray(bb, np.int64) << 18) | np.asarray(qb, np.int64)
+    order = np.argsort(key, kind="stable")
+    key, records = key[order], records[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    offsets = (np.append(starts, len(key)) * records.dtype.itemsize).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(records.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(key[starts]), pa.array(np.full(len(starts), records.dtype == MEMBER)), packed], names=["key", "member", "rows"])
 
 
 def _spread(ids: np.ndarray, parts: np.ndarray, seed: int) -> np.ndarray:
@@ -153,7 +145,7 @@ def _spread(ids: np.ndarray, parts: np.ndarray, seed: int) -> np.ndarray:
     return ((x >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int32)
 
 
-def route_to_cells(batches: Iterator[pa.RecordBatch], c: np.ndarray, member_blocks: np.ndarray, query_blocks: np.ndarray, probes: int, query_step: int = 1) -> Iterator[pa.RecordBatch]:
+def route_to_cells(batches: Iterator[pa.RecordBatch], c: np.ndarray, member_blocks: np.ndarray, query_blocks: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
     """Each vector as a member of its nearest cell and as a query of its `probes` nearest."""
     turn = rotation()
     for batch in batches:
@@ -167,13 +159,14 @@ def route_to_cells(batches: Iterator[pa.RecordBatch], c: np.ndarray, member_bloc
         repeat = query_blocks[home]
         at = np.repeat(np.arange(len(ids)), repeat)
         qb = np.arange(len(at)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-        yield _routed(home[at], _spread(ids, member_blocks[home], 1)[at], qb, True, ids[at], small[at], scale[at], code[at], f[at])
-        for p in range(near.shape[1]):
-            cell = near[:, p]
-            repeat = member_blocks[cell]
-            at = np.repeat(np.arange(len(ids)), repeat)
-            bb = np.arange(len(at)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-            yield _routed(cell[at], bb, _spread(ids, query_blocks[cell], 2)[at], False, ids[at], small[at], scale[at])
+        yield _routed(home[at], _spread(ids, member_blocks[home], 1)[at], qb, _records(MEMBER, id=ids, scale=scale, f=f, small=small, code=code)[at])
+        asked = _records(QUERY, id=ids, scale=scale, small=small)
+        cell = near.ravel()
+        of = np.repeat(np.arange(len(ids)), near.shape[1])
+        repeat = member_blocks[cell]
+        at = np.repeat(np.arange(len(cell)), repeat)
+        bb = np.arange(len(at)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+        yield _routed(cell[at], bb, _spread(ids[of], query_blocks[cell], 2)[at], asked[of[at]])
 
 
 def route_to_grid(batches: Iterator[pa.RecordBatch], row_blocks: int, query_blocks: int, query_step: int) -> Iterator[pa.RecordBatch]:
@@ -185,30 +178,33 @@ def route_to_grid(batches: Iterator[pa.RecordBatch], row_blocks: int, query_bloc
             continue
         code, f = encode(x, turn)
         small, scale = eight_bits(x)
-        zero = np.zeros(len(ids), np.int32)
+        zero = np.zeros(len(ids), np.int64)
         bb = _spread(ids, zero + row_blocks, 1)
+        members = _records(MEMBER, id=ids, scale=scale, f=f, small=small, code=code)
         for q in range(query_blocks):
-            yield _routed(zero, bb, zero + q, True, ids, small, scale, code, f)
+            yield _routed(zero, bb, zero + q, members)
         asked = np.flatnonzero(ids % query_step == 0)
         qb = _spread(ids[asked], np.full(len(asked), query_blocks), 2)
+        queries = _records(QUERY, id=ids[asked], scale=scale[asked], small=small[asked])
         for b in range(row_blocks):
-            yield _routed(zero[asked], zero[asked] + b, qb, False, ids[asked], small[asked], scale[asked])
+            yield _routed(zero[asked], zero[asked] + b, qb, queries)
 
 
 def nearest_in_block(block: pa.Table, top: int, least: float, query_batch: int = 256) -> pa.Table:
     """(id, other, coarse) of each query's `top` nearest members whose cosine may reach `least`."""
-    member = block.column("member").to_numpy(zero_copy_only=False)
-    rows, asked = block.filter(pa.array(member)), block.filter(pa.array(~member))
+    of = {True: [], False: []}
+    for member, packed in zip(block.column("member").to_pylist(), block.column("rows").to_pylist()):
+        of[member].append(packed)
+    rows, asked = np.frombuffer(b"".join(of[True]), MEMBER), np.frombuffer(b"".join(of[False]), QUERY)
     out_q, out_m, out_s = [], [], []
     if len(rows) and len(asked):
         turn = rotation()
-        ids, qids = rows.column("id").to_numpy(), asked.column("id").to_numpy()
-        f = rows.column("f").to_numpy()
-        signs = np.unpackbits(_matrix(rows.column("code"), np.uint8, BITS // 8), axis=1).astype(np.float32) * 2 - 1
-        signs /= (f * np.sqrt(BITS))[:, None]
+        ids, qids, f = rows["id"], asked["id"], rows["f"]
+        signs = np.unpackbits(rows["code"], axis=1).astype(np.float32) * 2 - 1
+        signs /= (f * np.float32(np.sqrt(BITS)))[:, None]
         error = (BOUND * np.sqrt(np.maximum(1 - f**2, 0) / (f**2 * (BITS - 1)))).astype(np.float32)
-        x = _matrix(rows.column("small"), np.int8, DIMENSIONS).astype(np.float32) * rows.column("scale").to_numpy()[:, None]
-        y = _matrix(asked.column("small"), np.int8, DIMENSIONS).astype(np.float32) * asked.column("scale").to_numpy()[:, None]
+        x = rows["small"].astype(np.float32) * rows["scale"][:, None]
+        y = asked["small"].astype(np.float32) * asked["scale"][:, None]
         for lo in range(0, len(qids), query_batch):
             part = y[lo : lo + query_batch]
             estimate = (part @ turn) @ signs.T
@@ -240,7 +236,7 @@ def _meet(routed: DataFrame, top: int, least: float) -> DataFrame:
     def block(rows: pa.Table) -> pa.Table:
         return nearest_in_block(rows, top, least)
 
-    return routed.groupBy("cell", "bb", "qb").applyInArrow(block, "id long, other long, coarse float")
+    return routed.groupBy("key").applyInArrow(block, "id long, other long, coarse float")
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
