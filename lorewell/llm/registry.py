@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lorewell.llm.knn", "lorewell.llm.neardup", "lorewell.llm.packing", "lorewell.llm.mixing", "lorewell.llm.pii")
+MODULES = tuple(f"lorewell.llm.{m}" for m in ("scans", "knn", "neardup", "packing", "mixing", "pii"))
 
 
 def queries() -> dict:
