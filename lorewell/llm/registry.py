@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = tuple(f"lorewell.llm.{m}" for m in ("scans", "knn", "neardup", "packing", "mixing", "pii"))
+MODULES = tuple(f"lorewell.llm.{m}" for m in ("split", "scans", "knn", "neardup", "packing", "mixing", "pii"))
 
 
 def queries() -> dict:
