@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lorewell.operators.orphans",)
+MODULES = ("lorewell.operators.orphans", "lorewell.operators.relational")
 FLAGSHIP = "p4_found"
 
 
