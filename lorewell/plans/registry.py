@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lorewell.operators.orphans", "lorewell.operators.relational")
+MODULES = tuple(f"lorewell.operators.{m}" for m in ("orphans", "relational", "retrieval"))
 FLAGSHIP = "p4_found"
 
 
