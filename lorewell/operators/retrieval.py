@@ -314,7 +314,7 @@ def suggestions(spark: SparkSession, folder: str) -> DataFrame:
 # --- decomposition
 
 def is_compound(c: str | Column) -> Column:
-    return F.lower(t.col(c)).rlike(r"\band\b|\bor\b|\bvs\.?\b|\bversus\b|\bcompare\b|\?[\s\S]*\?")
+    return F.lower(t.col(c)).rlike(r"(^|[^\p{L}\p{N}_])(and|or|vs\.?|versus|compare)([^\p{L}\p{N}_]|$)|\?[\s\S]*\?")
 
 
 def sub_queries(c: str | Column) -> Column:
@@ -325,7 +325,7 @@ def sub_queries(c: str | Column) -> Column:
     return F.when(F.size(chosen) >= 2, chosen).otherwise(F.array().cast("array<string>"))
 
 
-@query("qx7_compound_titles", r"SELECT node_id, regexp_matches(lower(content), '\band\b|\bor\b|\bvs\.?\b|\bversus\b|\bcompare\b|\?[\s\S]*\?') AS compound FROM " + m.NODES_SQL + " WHERE content IS NOT NULL")
+@query("qx7_compound_titles", r"SELECT node_id, regexp_matches(lower(content), '(^|[^\p{L}\p{N}_])(and|or|vs\.?|versus|compare)([^\p{L}\p{N}_]|$)|\?[\s\S]*\?') AS compound FROM " + m.NODES_SQL + " WHERE content IS NOT NULL")
 def compound_titles(spark: SparkSession, folder: str) -> DataFrame:
     return m.nodes(spark, folder).where("content is not null").select("node_id", is_compound("content").alias("compound"))
 
