@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = tuple(f"lorewell.operators.{m}" for m in ("orphans", "relational", "retrieval", "graph", "validation", "quality"))
+MODULES = tuple(f"lorewell.operators.{m}" for m in ("orphans", "relational", "retrieval", "graph", "validation", "quality", "maintenance")) + ("lorewell.streaming.ingest",)
 FLAGSHIP = "p4_found"
 
 
