@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import model as m
 from lorewell.functions import text as t
+from lorewell.operators.ordered import places
 
 QUERIES, SQL = {}, {}
 
@@ -208,8 +209,8 @@ def document_records(spark: SparkSession, folder: str) -> DataFrame:
 @query("sk6_remapped_ids", "WITH r AS (SELECT doc_id, file_path, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS new_id FROM documents) SELECT * FROM r")
 def remapped_ids(spark: SparkSession, folder: str) -> DataFrame:
     """New ids per source, as a migration gives them."""
-    w = Window.partitionBy(F.coalesce("source", F.lit(""))).orderBy("doc_id")
-    return m.documents(spark, folder).select("doc_id", "file_path", F.row_number().over(w).cast("long").alias("new_id"))
+    d = m.documents(spark, folder).select("doc_id", "file_path", F.coalesce("source", F.lit("")).alias("group"), F.floor(F.col("doc_id") / 256).alias("index"))
+    return places(d, ["group"], "index", "doc_id").select("doc_id", "file_path", (F.col("place") + 1).alias("new_id"))
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.functions import model as m
 from lorewell.functions import text as t
+from lorewell.operators.ordered import following, places
 from lorewell.operators.relational import CLASS_SQL, EXT_SQL, content_class
 
 QUERIES, SQL = {}, {}
@@ -62,7 +63,7 @@ _BOUNDS_SQL = f"""SELECT *, lead(starts_letter) OVER w AS next_letter, lead(id)
 def boundaries(spark: SparkSession, folder: str) -> DataFrame:
     """(extension, class, kind) per boundary of neighbouring chunks of a page: clean, mid_word or mid_sentence.
 
-    Only flags go through the window, not contents.
+    Only flags are moved, not contents.
     """
     c = F.col("content")
     clean = c.rlike(SENTENCE_END) | ((F.col("class") == "markdown") & c.rlike(r"\n\s*$")) | ((F.col("class") == "code") & c.rlike(r"[};:)]\s*$"))
@@ -70,9 +71,9 @@ def boundaries(spark: SparkSession, folder: str) -> DataFrame:
         "id", "document_id", "class", "extension", F.coalesce("page", F.lit(-1)).alias("page"), "chunk_index",
         c.rlike(r"\p{L}$(?!\n)").alias("ends_letter"), c.rlike(r"^\p{L}").alias("starts_letter"), clean.alias("ends_clean"),
     )
-    w = Window.partitionBy("document_id", "page").orderBy(F.asc_nulls_last("chunk_index"), "id")
-    pairs = ends.withColumn("next_letter", F.lead("starts_letter").over(w)).withColumn("next_id", F.lead("id").over(w)).where("next_id is not null")
-    kind = F.when(F.col("ends_letter") & F.col("next_letter"), "mid_word").when(F.col("ends_clean"), "clean").otherwise("mid_sentence")
+    placed = places(ends, ["document_id", "page"], "chunk_index", "id")
+    pairs = following(placed, ["document_id", "page"], ["id", "starts_letter"]).where("next_id is not null")
+    kind = F.when(F.col("ends_letter") & F.col("next_starts_letter"), "mid_word").when(F.col("ends_clean"), "clean").otherwise("mid_sentence")
     return pairs.select("extension", "class", kind.alias("kind"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import model as m
 from lorewell.functions import text as t
+from lorewell.operators.ordered import following, places
 
 CODE = (".py", ".js", ".ts", ".jsx", ".tsx", ".java", ".go", ".rs", ".c", ".cpp", ".h", ".hpp", ".cs", ".rb", ".php", ".swift", ".kt", ".scala", ".r", ".jl", ".lua", ".sh", ".bash", ".zsh")
 MARKDOWN = (".md", ".markdown", ".rst", ".adoc", ".ipynb")
@@ -86,10 +87,14 @@ def names(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("pf6_chunks_in_order", f"SELECT document_id, id, row_number() OVER (PARTITION BY document_id, coalesce(page, -1) ORDER BY chunk_index NULLS LAST, id) AS place FROM {m.CHUNKS_SQL} WHERE document_id IS NOT NULL")
 def chunks_in_order(spark: SparkSession, folder: str) -> DataFrame:
-    """The chunks of each page of each document in order; ranking inside the page keeps a huge document out of one task."""
-    c = m.chunks(spark, folder, "document_id", "page", "chunk_index").where("document_id is not null")
-    order = Window.partitionBy("document_id", F.coalesce("page", F.lit(-1))).orderBy(F.asc_nulls_last("chunk_index"), "id")
-    return c.select("document_id", "id", F.row_number().over(order).cast("long").alias("place"))
+    """The chunks of each page of each document in order."""
+    return _in_order(spark, folder).select("document_id", "id", (F.col("place") + 1).alias("place"))
+
+
+def _in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """(document_id, page, id, place) of chunks with a document; without a page the page is -1."""
+    c = m.chunks(spark, folder, "document_id", "page", "chunk_index").where("document_id is not null").withColumn("page", F.coalesce("page", F.lit(-1)))
+    return places(c, ["document_id", "page"], "chunk_index", "id")
 
 
 @query("pf8_by_status", f"SELECT file_path, status, last_updated FROM {m.PROGRESS_SQL} WHERE status IN ('in_progress', 'rejected')")
@@ -297,8 +302,7 @@ def embedding_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("w2_next_chunk", f"SELECT id, lead(id) OVER (PARTITION BY document_id, coalesce(page, -1) ORDER BY chunk_index NULLS LAST, id) AS next_id FROM {m.CHUNKS_SQL} WHERE document_id IS NOT NULL")
 def next_chunk(spark: SparkSession, folder: str) -> DataFrame:
-    order = Window.partitionBy("document_id", F.coalesce("page", F.lit(-1))).orderBy(F.asc_nulls_last("chunk_index"), "id")
-    return m.chunks(spark, folder, "document_id", "page", "chunk_index").where("document_id is not null").select("id", F.lead("id").over(order).alias("next_id"))
+    return following(_in_order(spark, folder).select("document_id", "page", "id", "place"), ["document_id", "page"], ["id"]).select("id", "next_id")
 
 
 @query(
