@@ -24,9 +24,10 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewell.operators.ordered import places
 from lorewell.session import checkpoint, table
 
 LIMIT, OVERLAP, BLOCK = 2048, 200, 6
@@ -131,20 +132,11 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
 def renumbered(chunks: DataFrame, pieces_per_chunk: DataFrame) -> DataFrame:
     """(id, first_index): where a chunk's first piece comes in its document, each chunk counting its pieces.
 
-    Three nested sums (256 indexes, then index and 65,536 ids, then single rows) keep every window small,
-    however many chunks a document has and however often an index repeats.
+    A place in the nested sums of `places`, so a document of any size is spread over many tasks.
     """
-    rows = chunks.select("id", "document_id", "chunk_index").where("id is not null").dropDuplicates(["id"])
+    rows = chunks.select("id", "document_id", "chunk_index").where("id is not null and document_id is not null").dropDuplicates(["id"])
     rows = rows.join(pieces_per_chunk, "id", "left").withColumn("n", F.coalesce("n", F.lit(1)).cast("long"))
-    at = F.coalesce(F.col("chunk_index").cast("long"), F.lit((1 << 40) - 1))
-    rows = rows.withColumn("at", at).withColumn("a", F.floor(at / 256)).withColumn("b", F.floor(F.col("id") / 65536))
-    inner = rows.groupBy("document_id", "a", "at", "b").agg(F.sum("n").alias("m"))
-    outer = inner.groupBy("document_id", "a").agg(F.sum("m").alias("s"))
-    before = lambda *k: Window.partitionBy(*k).rowsBetween(Window.unboundedPreceding, -1)
-    outer = outer.withColumn("s", F.coalesce(F.sum("s").over(before("document_id").orderBy("a")), F.lit(0)))
-    inner = inner.withColumn("m", F.coalesce(F.sum("m").over(before("document_id", "a").orderBy("at", "b")), F.lit(0)))
-    rows = rows.where("document_id is not null").withColumn("w", F.coalesce(F.sum("n").over(before("document_id", "at", "b").orderBy("id")), F.lit(0)))
-    placed = rows.join(inner, ["document_id", "a", "at", "b"]).join(outer, ["document_id", "a"]).select("id", (F.col("s") + F.col("m") + F.col("w")).alias("first_index"))
+    placed = places(rows, ["document_id"], "chunk_index", "id", "n", "first_index").select("id", "first_index")
     alone = chunks.where("document_id is null").select("id", F.coalesce("chunk_index", F.lit(0)).cast("long").alias("first_index")).dropDuplicates(["id"])
     return placed.unionByName(alone)
 
