@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = tuple(f"lorewell.operators.{m}" for m in ("orphans", "relational", "retrieval", "graph", "validation", "quality", "maintenance")) + ("lorewell.streaming.ingest",)
-FLAGSHIP = "p4_found"
+MODULES = tuple(f"lorewell.operators.{m}" for m in ("orphans", "relational", "retrieval", "graph", "validation", "quality", "maintenance", "chunking")) + ("lorewell.streaming.ingest", "lorewell.sources.files")
+FLAGSHIP = "qx5_hybrid_fusion"
 
 
 def queries() -> dict:
