@@ -81,7 +81,7 @@ def notebook_cells(files: DataFrame, path: str = "path", content: str = "content
     lines, whole = F.from_json(raw, _NOTEBOOK_LINES), F.from_json(raw, NOTEBOOK)
     joined = F.transform(lines["cells"], lambda c: F.struct(c["cell_type"].alias("cell_type"), F.array_join(c["source"], "").alias("source")))
     plain = F.transform(whole["cells"], lambda c: F.struct(c["cell_type"].alias("cell_type"), c["source"].alias("source")))
-    cells = F.zip_with(joined, plain, lambda a, b: F.struct(b["cell_type"].alias("cell_type"), F.when(F.length(a["source"]) > 0, a["source"]).otherwise(b["source"]).alias("source")))
+    cells = F.zip_with(joined, plain, lambda a, b: F.struct(b["cell_type"].alias("cell_type"), F.coalesce(a["source"], b["source"]).alias("source")))
     language = F.coalesce(whole["metadata"]["kernelspec"]["language"], F.lit("python"))
     filled = F.filter(cells, lambda c: F.length(F.trim(F.coalesce(c["source"], F.lit("")))) > 0)
     rows = files.select(F.col(path).alias("path"), language.alias("language"), F.posexplode(filled).alias("page", "cell"))
