@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import model as m
 from lorewell.functions import text as t
-from lorewell.operators.relational import content_class, CLASS_SQL
+from lorewell.operators.relational import CLASS_SQL, content_class
+from lorewell.session import checkpoint
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 20
 TOP, DEEP = 10, 40
@@ -79,6 +80,7 @@ def exact_nearest(vectors: DataFrame, asked: DataFrame, top: int = TOP) -> DataF
 
     Rows and queries are dealt to a grid of blocks by hash; each cell of the grid keeps its best.
     """
+    vectors, asked = checkpoint(vectors.select("id", "v")), checkpoint(asked.select("id", "v"))
     n, q = vectors.count(), asked.count()
     row_blocks, query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-q // BLOCK_QUERIES))
     every = lambda k: F.explode(F.array([F.lit(i) for i in range(k)]))
@@ -105,7 +107,7 @@ _NEAREST_SQL = f"""u AS ({_USABLE_SQL}), near AS (SELECT query_id, id, score, ra
 @query("qx1_exact_nearest", f"WITH {_NEAREST_SQL} SELECT * FROM near")
 def nearest(spark: SparkSession, folder: str) -> DataFrame:
     """Every vector whose id is divisible by 20 against all."""
-    v = usable_vectors(m.table(spark, folder, "vec_chunks"))
+    v = checkpoint(usable_vectors(m.table(spark, folder, "vec_chunks")))
     return exact_nearest(v, v.where(F.col("id") % QUERY_STEP == 0))
 
 
@@ -147,8 +149,9 @@ def stem_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_corpus(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with `words` and `dl`, df per term with idf, one row of totals) of (id, content)."""
-    worded = rows.withColumn("words", t.tokens("content")).withColumn("dl", F.size("words"))
+    """((id, words, dl), df per term with idf, one row of totals) of (id, content)."""
+    # The index: texts are moved and cut into words once, and read three times.
+    worded = checkpoint(rows.select("id", t.tokens("content").alias("words"))).withColumn("dl", F.size("words"))
     df = worded.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     totals = worded.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"))
     raw = df.crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n_rows") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row of totals
@@ -260,7 +263,7 @@ def result_keys(rows: DataFrame) -> DataFrame:
 
 def hybrid(spark: SparkSession, folder: str) -> DataFrame:
     """For every document whose id is divisible by 20: its title words and its first usable chunk vector as one query."""
-    rows, v = searchable(spark, folder), usable_vectors(m.table(spark, folder, "vec_chunks"))
+    rows, v = searchable(spark, folder), checkpoint(usable_vectors(m.table(spark, folder, "vec_chunks")))
     first = rows.where(F.col("document_id") % QUERY_STEP == 0).select("id", "document_id").join(v.select("id"), "id", "left_semi").groupBy("document_id").agg(F.min("id").alias("id"))
     asked = v.join(first, "id").select(F.col("document_id").alias("id"), "v")
     own = first.select(F.col("document_id").alias("query_id"), F.col("id").alias("own"))
@@ -504,7 +507,7 @@ def benchmark_grades(spark: SparkSession, folder: str) -> DataFrame:
 )
 def three_way(spark: SparkSession, folder: str) -> DataFrame:
     """How many queries each branch answers with the document itself among the first five."""
-    rows, v = searchable(spark, folder), usable_vectors(m.table(spark, folder, "vec_chunks"))
+    rows, v = searchable(spark, folder), checkpoint(usable_vectors(m.table(spark, folder, "vec_chunks")))
     first = rows.where(F.col("document_id") % QUERY_STEP == 0).select("id", "document_id").join(v.select("id"), "id", "left_semi").groupBy("document_id").agg(F.min("id").alias("id"))
     own = first.select(F.col("document_id").alias("query_id"), F.col("id").alias("own"))
     near = exact_nearest_of(v, v.join(first, "id").select(F.col("document_id").alias("id"), "v"), own)

@@ -233,17 +233,18 @@ RULES = {
 }
 
 
-def _holds(text: Column, string: tuple) -> Column:
+def _holds(text: Column, low: Column, string: tuple) -> Column:
     pattern, nocase, regex = string
     if regex:
         return text.rlike(("(?i)" if nocase else "") + pattern)
-    return F.lower(text).contains(pattern.lower()) if nocase else text.contains(pattern)
+    return low.contains(pattern.lower()) if nocase else text.contains(pattern)
 
 
-def rule_matches(text: str | Column, rules: dict = RULES) -> Column:
-    """The names of the rules that a text matches, in order."""
+def rule_matches(text: str | Column, low: str | Column | None = None, rules: dict = RULES) -> Column:
+    """The names of the rules that a text matches, in order. low: the text in lower case, if it is at hand."""
     c = t.col(text)
-    both = lambda strings: reduce(lambda a, b: a & b, [_holds(c, s) for s in strings])
+    lower = F.lower(c) if low is None else t.col(low)
+    both = lambda strings: reduce(lambda a, b: a & b, [_holds(c, lower, s) for s in strings])
     named = [F.when(reduce(lambda a, b: a | b, [both(s) for s in ways]), F.lit(name)) for name, ways in rules.items()]
     return F.array_compact(F.array(*named))
 
@@ -261,7 +262,7 @@ _RULES_SQL = {name: "(" + " OR ".join("(" + " AND ".join(map(_holds_sql, s)) + "
 
 @query("se2_rule_matches", " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule FROM documents WHERE {c}" for n, c in _RULES_SQL.items()))
 def matched_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return m.documents(spark, folder).where("text is not null").select("doc_id", F.explode(rule_matches("text")).alias("rule"))
+    return m.documents(spark, folder).where("text is not null").withColumn("low", F.lower("text")).select("doc_id", F.explode(rule_matches("text", "low")).alias("rule"))
 
 
 def false_positive_hint(path: str, rule: str) -> Column:
@@ -290,7 +291,8 @@ def classified(severity: Column, valid: Column, check: Column) -> Column:
 
 def scan(files: DataFrame, listed: DataFrame) -> DataFrame:
     """(doc_id, file_hash, is_valid, severity, validation_check, rules) of (doc_id, file_hash, text): hash list first, then rules."""
-    f = files.join(listed, "file_hash", "left").withColumn("rules", rule_matches("text")).withColumn("bad", F.coalesce("listed", F.lit(False)))
+    f = files.withColumn("low", F.lower("text")).withColumn("rules", rule_matches("text", "low")).drop("text", "low")
+    f = f.join(listed, "file_hash", "left").withColumn("bad", F.coalesce("listed", F.lit(False)))
     return f.select(
         "doc_id", "file_hash", (~F.col("bad")).alias("is_valid"),
         F.when(F.col("bad"), "CRITICAL").when(F.size("rules") > 0, "WARNING").otherwise("INFO").alias("severity"),
