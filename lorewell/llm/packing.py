@@ -185,9 +185,11 @@ def pack(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     for name, c in capacities.items():
         plan += [(name, *s) for s in slots({int(r["size"]): int(r["count"]) for r in counts if r.budget_name == name}, c)]
     table_of_slots = spark.createDataFrame(plan, "s_budget string, s_size long, low long, high long, each long, base long")
+    # The slots follow from the sizes up to the capacity, not from the texts; still they are only broadcast if few.
+    table_of_slots = F.broadcast(table_of_slots) if len(plan) <= 500_000 else table_of_slots
     ranked = rank(pieces.where("size > 0"), ["budget_name", "size"], ["id", "piece"])
     placed = ranked.join(
-        F.broadcast(table_of_slots),
+        table_of_slots,
         (F.col("budget_name") == F.col("s_budget")) & (F.col("size") == F.col("s_size")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")),
     ).withColumn("container_id", (F.col("base") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).cast("long"))
     columns = ["budget_name", F.col("id").alias("doc_id"), "piece", "first_token", F.col("size").alias("tokens")]
