@@ -171,6 +171,9 @@ _CODE_LABEL = re.compile(r"(?:\border|\bbuild|\bpart|\bticket|\bcatalogue|\binvo
 
 _CAP = r"[^\W\d_a-zà-öø-ÿ][\w’'-]*"
 _TOWN = rf"{_CAP}(?:[ -]{_CAP}){{0,2}}"
+# First words of towns of several words. After a postcode a town goes on only behind one of these.
+TOWN_STARTS = "Bad Sankt St. Neu San Santa Saint Sainte Le La Les Los Las El New Old Alt Groß Klein Villa Puerto".split()
+_AFTER_CODE = rf"(?:(?:{'|'.join(map(re.escape, TOWN_STARTS))})[ ])?{_CAP}(?:-{_CAP}){{0,3}}"
 # Words for streets, by language. English and French addresses begin with their number.
 EN_STREETS = "Close Terrace Lane Drive Road Street Avenue Crescent Court Square Grove Row Walk Place Way Gardens Hill Mews St Rd Ave Ln Dr".split()
 DE_STREETS = "straße strasse str. weg gasse allee platz ring damm ufer steig pfad chaussee Straße Weg Gasse Allee Platz".split()
@@ -183,13 +186,13 @@ _EN = re.compile(
 )
 _FR = re.compile(
     rf"(?<![\w.,\-])\d{{1,4}}(?:[ ](?:bis|ter|quater))?,?[ ](?:{_any(FR_STREETS)})[ ](?:(?:de[ ]la|de[ ]l['’]|du|des|de|d['’]|aux|au|à[ ]la|la|le|les)[ ]?)?"
-    rf"{_CAP}(?:[ -](?:(?:de|du|des|la|le|les|aux|au)[ -])?{_CAP}){{0,3}}(?:,?[ \n]?[ ]?(?:F-)?\d{{5}}[ ]{_TOWN})?"
+    rf"{_CAP}(?:[ -](?:(?:de|du|des|la|le|les|aux|au)[ -])?{_CAP}){{0,3}}(?:,?[ \n]?[ ]?(?:F-)?\d{{5}}[ ]{_AFTER_CODE})?"
 )
-_DE_END = re.compile(rf"(?:{_any(DE_STREETS)})[ ]\d{{1,4}}[ ]?[a-z]?\b(?:,?[ \n]?[ ]?(?:D-)?\d{{5}}[ ]{_TOWN})?")
+_DE_END = re.compile(rf"(?:{_any(DE_STREETS)})[ ]\d{{1,4}}[ ]?[a-z]?\b(?:,?[ \n]?[ ]?(?:D-)?\d{{5}}[ ]{_AFTER_CODE})?")
 _DE_START = re.compile(rf"(?<![\w.,\-])(?:{_CAP}[ ])?[^\W\d_]*\Z")
 _ES = re.compile(
     rf"(?<![\w.,\-])(?:{_any(ES_STREETS)})[ ](?:(?:de[ ]la|de[ ]los|de[ ]las|del|de|la|el|los|las)[ ])?{_CAP}(?:[ ](?:(?:de|del|la|los|las|y)[ ])*{_CAP}){{0,3}},?[ ]"
-    rf"(?:n\.?[º°][ ]?|núm\.?[ ]|no\.[ ])?\d{{1,4}}(?:[ ]?(?:bis|[a-zA-Z]))?\b(?:,?[ \n]?[ ]?\d{{5}}[ ]{_TOWN})?"
+    rf"(?:n\.?[º°][ ]?|núm\.?[ ]|no\.[ ])?\d{{1,4}}(?:[ ]?(?:bis|[a-zA-Z]))?\b(?:,?[ \n]?[ ]?\d{{5}}[ ]{_AFTER_CODE})?"
 )
 _EN_WORDS, _FR_WORDS = frozenset(w.lower() for w in EN_STREETS), frozenset(FR_STREETS)
 _ES_WORDS = frozenset({w.lower().strip("./") for w in ES_STREETS})
@@ -223,13 +226,13 @@ WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 PARTICLES = "von van de der den del della di da du la le los las zu zur zum af y ten ter dos d".split()
 NOT_GIVEN = set(
     "mr mrs ms miss dr prof professor sir herr frau fräulein monsieur madame mademoiselle mme mlle señor señora sr sra don doña "
-    "ask call contact thanks dear hello hi to from cc via by for and with we met author maintainer subject tel "
+    "ask call called contact thanks dear hello hi to from cc via by for and with we met lists list author maintainer subject tel row that where when "
     "kontakt rückfragen hallo liebe lieber bei mit und von an merci contacto gracias escribe querido querida hola à para por con y "
     "cher chère bonjour et avec chez selon according the der die das le la el los las".split()
 )
 _PART = rf"(?:(?:{'|'.join(PARTICLES)})[ ]|d['’])"
 _GIVEN_LEFT = re.compile(rf"(?<![\w@.+\-])(?P<g>[^\W\d_]\.(?:[ ]?-?[^\W\d_]\.)?|[^\W\d_]+(?:-[^\W\d_]+)*)(?P<m>[ \n][^\W\d_]\.)?[ \n]{_PART}{{0,3}}\Z", re.I)
-_GIVEN_AFTER_COMMA = re.compile(rf",[ \n](?P<g>[^\W\d_]\.|[^\W\d_]+(?:-[^\W\d_]+)*)(?![\w@])")
+_GIVEN_AFTER_COMMA = re.compile(rf",[ \n](?P<g>[^\W\d_]\.|[^\W\d_]+(?:-[^\W\d_]+)*)(?![\w@]|[._+\-]\w)")
 _GIVEN_RIGHT = re.compile(r"[ \n](?P<g>[^\W\d_]\.|[^\W\d_]+(?:-[^\W\d_]+)*)(?![\w@])")
 _PART_LEFT = re.compile(rf"(?<![\w@.+\-]){_PART}{{1,3}}\Z", re.I)
 
@@ -318,12 +321,15 @@ def _name_at(text: str, m: re.Match, givens: frozenset[str]) -> tuple[int, int]
         g = left["g"]
         if g.endswith(".") and g[0].isupper():
             return start + left.start(), b
+        ordinary = not g.endswith(".") and (fold(g) in NOT_GIVEN or fold(g) in PARTICLES or (g.islower() and cased))
+        if left["m"] and ordinary and left["m"][1].isupper():  # "Ask R. Haldumber": the middle initial is the only one
+            return start + left.start("m") + 1, b
         if not g.endswith(".") and fold(g) not in NOT_GIVEN and len(g) > 1 and fold(g) not in PARTICLES:
             if g[0].isupper() and cased:
                 return start + left.start(), b
-            if not cased and g.islower() and re.search(r"(?:[|*<:(]|//|#|\bherr|\bfrau|\bdr\.|\bm\.|\bmme|\bseñor|\bseñora|\bsr\.|\bsra\.|^|\n)\s?\Z", before[: left.start()], re.I):
+            if not cased and g.islower() and len(g) > 2:  # a learned family name is no ordinary word
                 return start + left.start(), b
-    if comma and cased and comma["g"][0].isupper() and fold(comma["g"]) not in NOT_GIVEN and (comma["g"].endswith(".") or text[comma.end() : comma.end() + 1] != "."):
+    if comma and cased and comma["g"][0].isupper() and fold(comma["g"]) not in NOT_GIVEN and (comma["g"].endswith(".") or len(comma["g"]) > 3 or text[comma.end() : comma.end() + 1] != "."):
         return family, comma.end()
     if right and m.group().isupper() and right["g"][0].isupper() and not right["g"].isupper() and fold(right["g"]) not in NOT_GIVEN:
         return family, right.end()
