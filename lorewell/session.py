@@ -47,13 +47,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the folder that all executors share (spark.checkpoint.dir).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir).
 
     Only a session without that setting, as in tests, gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "lorewell-checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -6,6 +6,7 @@ takes the place of dropping what is over a batch's cap.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lorewell.session import table
+from lorewell.session import shared_folder, table
 
 GAP = "10 seconds"
 QUERIES, SQL = {}, {}
@@ -53,6 +54,23 @@ def debounced_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return debounced(table(spark, folder, "events")).select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "events")
 
 
+@query("st1_streamed_sessions", SQL["st2_debounced_sessions"])
+def streamed_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """The debounced sessions as a stream computes them: read file by file, until what is there is read."""
+    at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    schema = table(spark, folder, "events").schema
+    # A pattern, since a stream of files takes folders and patterns, not the name of one file.
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 50).parquet(f"{folder}/events.parque[t]")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows")  # the complete state, so a repeated batch does no harm
+
+    run = debounced(stream).writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return spark.read.parquet(f"{at}/rows").select("user_id", ntz("started"), ntz("ended"), "events")
+
+
 @query(
     "st3_change_sets",
     "SELECT user_id, date_trunc('hour', ts) AS hour, count(DISTINCT event_type) AS kinds, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS changes FROM events GROUP BY ALL",
