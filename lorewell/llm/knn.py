@@ -335,4 +335,11 @@ def p3_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_nearest": p3_nearest}
-SQL: dict[str, str] = {}
+# Every pair by brute force; the tables of the comparison are small enough for that.
+SQL = {
+    "p3_found": f"""WITH u AS (SELECT DISTINCT rowid AS id, CAST(embedding AS DOUBLE[]) AS v FROM vec_chunks WHERE len(embedding) = {DIMENSIONS}
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+      near AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= {LINK_COSINE}),
+      top AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM near) WHERE r <= {LINK_TOP})
+      SELECT least(a, b) AS rowid_a, greatest(a, b) AS rowid_b FROM top GROUP BY ALL HAVING count(*) = 2"""
+}

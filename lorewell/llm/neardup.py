@@ -358,4 +358,17 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
-SQL: dict[str, str] = {}
+_WORDS_SQL = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+_NAME_SQL = r"regexp_replace(regexp_extract(file_path, '[^/]*$'), '\.[^.]*$', '')"
+# All pairs that share a run, counted; the tables of the comparison are small enough for that.
+SQL = {
+    "p5_found": f"""WITH w AS (SELECT DISTINCT id, {_WORDS_SQL.format("content")} AS w FROM chunks WHERE content IS NOT NULL),
+      runs AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS r FROM w WHERE len(w) >= 20),
+      n AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
+      c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM runs a JOIN runs b ON a.r = b.r AND a.id < b.id GROUP BY ALL),
+      dw AS (SELECT doc_id AS id, list_distinct({_WORDS_SQL.format(_NAME_SQL)}) AS w FROM documents WHERE file_path IS NOT NULL),
+      dr AS (SELECT id, unnest(w) AS r FROM dw WHERE len(w) >= 4), dn AS (SELECT id, count(*) AS n FROM dr GROUP BY id),
+      dc AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM dr a JOIN dr b ON a.r = b.r AND a.id < b.id GROUP BY ALL)
+      SELECT 'chunk' AS entity, a AS id_a, b AS id_b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 2 * k >= x.n + y.n - k
+      UNION ALL SELECT 'document', a, b FROM dc JOIN dn x ON x.id = a JOIN dn y ON y.id = b WHERE 10 * k >= 6 * (x.n + y.n - k)"""
+}
