@@ -54,6 +54,15 @@ def test_large_families_are_compared_whole(spark, monkeypatch):
     assert len(_found(spark, rows, **neardup.CHUNK_RULE)) == 90 * 89 // 2
 
 
+def test_large_families_at_the_threshold(spark):
+    rng = random.Random(7)
+    own = lambda i, n: " ".join(f"o{i}x{j}" for j in range(n))
+    # 100 common runs and 50 of its own: every pair has a similarity of exactly 0.5.
+    rows = [(i, " ".join(f"c{j}" for j in range(102)) + " " + own(i, 50), 0) for i in range(400)]
+    rng.shuffle(rows)
+    assert len(_found(spark, rows, **neardup.CHUNK_RULE)) > 0.98 * (400 * 399 // 2)
+
+
 def test_heavy_prefixes_only_change_the_placement(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SAMPLE_ONE_IN", 1)
     rows = [(i, "a b c d e f g h " * 3 + t, 0) for i, t in enumerate(_texts(3, 60))]
