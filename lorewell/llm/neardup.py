@@ -15,8 +15,8 @@ it is near 1. A pair at the threshold itself passes the sketch with about 0.998.
 
 Scale: one shuffle of the distinct texts by their hash, one of TRIES + MORE slim rows a text by prefix, one of
 the candidate pairs, then only the texts met by a candidate are read again. A first minimum shared by
-very many texts (found on a sample, which decides the placement only, never the result) is placed by its
-longer prefix. Copies of one text are collapsed before, and expanded afterwards by a join.
+very many texts (found on a sample of the distinct texts, so only prefixes that are lengthened anyway) is
+placed by its longer prefix. Copies of one text are collapsed before, and expanded afterwards by a join.
 
 Defined results: null, blank and short texts take no part; rows delivered twice count once; an empty
 table gives an empty result; whole texts are used, however long; extra columns are ignored.
@@ -233,12 +233,12 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         )
 
 
-def _heavy_keys(texts: DataFrame, sign: Callable, rows: int) -> tuple[np.ndarray, ...]:
-    """First minima (then pairs of minima) that more than `rows` texts share, by a sample of the ids.
+def _heavy_keys(sample: DataFrame, sign: Callable, rows: int) -> tuple[np.ndarray, ...]:
+    """First minima (then pairs of minima) that more than `rows` texts share, by a sample of the distinct texts.
 
     At most (texts x TRIES) / rows keys come back; they only decide where rows are placed.
     """
-    sample = texts.where(F.pmod(F.xxhash64(F.col("id")), F.lit(SAMPLE_ONE_IN)) == 0)
+    sample = checkpoint(sample)
     found: tuple[np.ndarray, ...] = ()
     for _ in range(DEPTH - 1):
         keys = sample.mapInArrow(partial(sign, heavy=found, first_only=True), "key1 long, key2 long")
@@ -268,7 +268,9 @@ def similar_pairs(
         .where("id > rep").select("id", "rep").distinct()
     )
     sign = partial(signatures, run=run, least_words=least_words, least_distinct=least_distinct)
-    heavy = _heavy_keys(rows, sign, heavy_rows)
+    # Copies fall into the sample together, and count as one text there, too.
+    sample = rows.where(F.pmod(h, F.lit(SAMPLE_ONE_IN)) == 0).withColumn("h", h).withColumn("n", F.length("text")).dropDuplicates(["h", "n"])
+    heavy = _heavy_keys(sample.select("id", "text"), sign, heavy_rows)
     keyed = texts.mapInArrow(partial(sign, heavy=heavy), "key1 long, key2 int, key3 int, s1 long, s2 long, id long")
     keyed = keyed.repartition(*([partitions] if partitions else []), "key1").sortWithinPartitions("key1", "key2", "key3")
     agree = threshold + (1 - threshold) / 4

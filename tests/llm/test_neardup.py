@@ -69,6 +69,16 @@ def test_heavy_prefixes_only_change_the_placement(spark, monkeypatch):
     assert _found(spark, rows, heavy_rows=5, **neardup.CHUNK_RULE) == _found(spark, rows, **neardup.CHUNK_RULE)
 
 
+def test_copies_of_one_text_make_no_heavy_prefix(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SAMPLE_ONE_IN", 1)
+    found, heavy_keys = [], neardup._heavy_keys
+    monkeypatch.setattr(neardup, "_heavy_keys", lambda *a: found.append(heavy_keys(*a)) or found[-1])
+    text, near = " ".join(f"k{i}" for i in range(60)), " ".join(f"k{i}" for i in range(50))
+    rows = [(i, text, 0) for i in range(40)] + [(40, near, 0)]
+    assert len(_found(spark, rows, heavy_rows=5, **neardup.CHUNK_RULE)) == 41 * 40 // 2
+    assert found == [()]
+
+
 def test_file_names(spark):
     rows = [(1, "notes duskfell snowhunter cedarbell", 0), (2, "duskfell snowhunter cedarbell notes v2", 0), (3, "duskfell snowhunter other words here", 0), (4, "a b c", 0), (5, "a b c", 0), (6, "one one one two three", 0)]
     assert _found(spark, rows, **neardup.NAME_RULE) == {(1, 2)}
