@@ -9,7 +9,9 @@ used in texts that were never scanned. All counts are over all chunks.
 Edge lines: the first and last EDGE lines of a page that are not blank. A running header is a line whose
 form (case and numbers aside, a few characters may be misread) returns on pages of the document, or is a
 chapter heading, or names the file; the forms that documents repeat count in others too. A page number is
-an edge line with nothing but a number whose distance to the page is that of the document's other pages.
+an edge line with nothing but a number whose distance to the page is that of the document's other pages,
+or of the pages around it: numbering may restart by part or skip plates. Neither a form nor a distance
+needs a share of a long document: OFTEN pages, or pages close to each other, are enough.
 
 Broken words: a line that ends in a hyphen is continued on the next text line, on the next page if needed.
 The corpus decides: if the hyphenated spelling is the more frequent one, the hyphen is the word's own.
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from lorewell.session import checkpoint, table
 
 EDGE = 3
+OFTEN, CLOSE = 5, 2
 OUTWEIGHED, LEAST_ORIGINAL = 12, 4
 SLICE = 1_000_000
 # What a reader of scans may see, and what was printed.
@@ -183,24 +186,35 @@ def scanned_pages(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return pages.dropDuplicates(["id"])
 
 
+def _repeats(lines: DataFrame, key: str) -> DataFrame:
+    """(document_id, key, pages, near): pages with that value, and those of them that have another within CLOSE pages."""
+    at = Window.partitionBy("document_id", key).orderBy("page")
+    steps = lines.select("document_id", key, "page").distinct()
+    steps = steps.withColumn("close", (F.col("page") - F.lag("page").over(at) <= CLOSE) | (F.lead("page").over(at) - F.col("page") <= CLOSE))
+    return steps.groupBy("document_id", key).agg(F.count("*").alias("pages"), F.count_if("close").alias("near"))
+
+
 def edge_kinds(edges: DataFrame, documents: DataFrame) -> DataFrame:
     """(id, line_no, kind): which edge lines are page numbers and which running headers."""
     numbered = edges.where(F.size("numbers") > 0).select("document_id", "id", "page", "line_no", "line", "from_top", "from_bottom", F.explode("numbers").alias("value"))
     numbered = numbered.withColumn("away", F.col("value") - F.col("page")).withColumn("bare", F.col("line").rlike(r"^\s*[0-9]{1,4}\s*$"))
-    support = numbered.groupBy("document_id", "away").agg(F.countDistinct("page").alias("pages"))
+    support = _repeats(numbered, "away")
     sizes = edges.groupBy("document_id").agg(F.countDistinct("page").alias("n_pages"))
     top = support.groupBy("document_id").agg(F.max("pages").alias("most"))
     numbers = (
         numbered.join(support, ["document_id", "away"]).join(top, "document_id").join(sizes, "document_id")
         .where(
             ((F.col("pages") >= 2) & (F.col("pages") == F.col("most")) & (F.col("pages") * 4 >= F.col("n_pages")))
+            | (F.col("near") >= OFTEN)
+            | ((F.col("near") >= 3) & (F.least("from_top", "from_bottom") == 0))
             | ((F.least("from_top", "from_bottom") == 0) & (~F.col("bare") | ((F.col("most") == 1) & (F.col("n_pages") <= 2) & (F.col("value") < 1000))))
         )
         .select("id", "line_no").distinct()
     )
     rest = edges.join(numbers, ["id", "line_no"], "left_anti").where((F.length("form") >= 4) & (F.length("line") <= 90) & F.col("form").rlike(r"\p{L}"))
-    repeats = rest.groupBy("document_id", "form").agg(F.countDistinct("page").alias("pages")).join(sizes, "document_id")
-    headed = repeats.where((F.col("pages") >= 2) & (F.col("pages") >= 0.15 * F.col("n_pages"))).select("document_id", F.col("form").alias("head"))
+    repeats = _repeats(rest, "form").join(sizes, "document_id")
+    often = (F.col("pages") >= OFTEN) | (F.col("near") >= 2) | (F.col("pages") >= 0.15 * F.col("n_pages"))
+    headed = repeats.where((F.col("pages") >= 2) & often).select("document_id", F.col("form").alias("head"))
     # A form that most documents with several pages repeat is a header where it stands once, too.
     usual = repeats.where("n_pages >= 2").groupBy("form").agg(F.count_if(F.col("pages") >= 2).alias("repeated"), F.count("*").alias("documents"))
     usual = usual.where((F.col("repeated") >= 3) & (2 * F.col("repeated") >= F.col("documents"))).select("form", F.lit(True).alias("is_usual"))

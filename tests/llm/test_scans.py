@@ -69,6 +69,18 @@ def test_page_numbers_follow_the_page(spark, tmp_path):
     assert {(r.id, r.line_no) for r in noisy_lines(spark, str(tmp_path)).where("kind = 'page_number'").collect()} == {(i, 6) for i in (1, 2, 3, 4)}
 
 
+def test_a_long_book_in_chapters_and_parts(spark, tmp_path):
+    body = lambda i: "\n".join(f"the {w} number {chr(97 + i % 26)}{chr(97 + i // 26)} was seen by all of them and went on" for w in ("river", "kettle", "garden", "lantern"))
+    # Ten chapters of 12 pages with their title as footer; the bare numbers of each part of 20 pages begin anew.
+    titles = "saltmarsh orchard viaduct quarry granary boathouse signal weir foundry almshouse".split()
+    pages = [f"{1 + i % 20}\n{body(i)}\nof the old {titles[i // 12]} and its keepers in the valley" for i in range(120)]
+    _book(spark, str(tmp_path), pages)
+    got = {(r.id, r.line_no, r.kind) for r in noisy_lines(spark, str(tmp_path)).collect()}
+    assert {(i + 1, 1, "page_number") for i in range(120)} <= got
+    assert {(i + 1, 6, "header") for i in range(120)} <= got
+    assert not [x for x in got if x[1] in (2, 3, 4, 5) and x[2] in ("header", "page_number")]
+
+
 def test_empty_tables(spark, tmp_path):
     _book(spark, str(tmp_path), [])
     assert noisy_lines(spark, str(tmp_path)).count() == 0 and paragraphs(spark, str(tmp_path)).count() == 0
