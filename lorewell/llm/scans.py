@@ -315,7 +315,10 @@ def _prepared(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, D
     pages = checkpoint(scanned_pages(chunks, documents))
     edges = checkpoint(pages.select("document_id", "id", "page", "content").mapInArrow(_edges, EDGES))
     kinds = checkpoint(edge_kinds(edges, documents))
-    counts = checkpoint(word_counts(chunks.where("content is not null").select("content")))
+    # Deliveries of a row are told by its id; rows without one count each.
+    filled = chunks.where("content is not null").select("id", "content")
+    filled = filled.where("id is not null").dropDuplicates(["id"]).unionByName(filled.where("id is null"))
+    counts = checkpoint(word_counts(filled.select("content")))
     broken = checkpoint(broken_words(pages, kinds, counts))
     more = broken.groupBy(F.col("joined").alias("word")).agg(F.count("*").alias("n"))
     scan_counts = word_counts(pages.select("content")).unionByName(more).groupBy("word").agg(F.sum("n").alias("n"))

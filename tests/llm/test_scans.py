@@ -81,6 +81,13 @@ def test_a_long_book_in_chapters_and_parts(spark, tmp_path):
     assert not [x for x in got if x[1] in (2, 3, 4, 5) and x[2] in ("header", "page_number")]
 
 
+def test_a_misread_word_on_a_page_delivered_twice(spark, tmp_path):
+    page = "an old stone stood here\nand the rnarket was closed\nfor the rest of the week"
+    plain = [(100 + i, 1, "The market was a well-known market.", None, 0, None) for i in range(20)]
+    _book(spark, str(tmp_path), [page], [(1, 2, page, 1, 0, None), *plain])
+    assert [(r.id, r.line_no) for r in noisy_lines(spark, str(tmp_path)).where("kind = 'ocr'").collect()] == [(1, 2)]
+
+
 def test_empty_tables(spark, tmp_path):
     _book(spark, str(tmp_path), [])
     assert noisy_lines(spark, str(tmp_path)).count() == 0 and paragraphs(spark, str(tmp_path)).count() == 0
