@@ -184,7 +184,7 @@ def _divided(lines: list[str], starts: list[int], a: int, b: int, kind: str, lim
 
 
 def go_pieces(code: str, max_chars: int = 2048) -> list[Piece]:
-    """Declarations, sized by what is not white space; a single line is cut off at four times the limit."""
+    """Declarations, sized by what is not white space; none is cut off: a piece over four times the limit is divided at its lines."""
     dense = lambda s: len(re.sub(r"\s", "", s))
     out, held = [], ""
     for part in re.split(r"(?m)(?=^(?:func|type|var|const|import|package)\b)", code):
@@ -194,7 +194,21 @@ def go_pieces(code: str, max_chars: int = 2048) -> list[Piece]:
                 held = ""
             held += unit
     out.append(held)
-    return [(s.strip("\n")[: 4 * max_chars], i, "go") for i, s in enumerate(x for x in out if x.strip())]
+    parts = [p for x in out for p in ([x] if len(x.strip("\n")) <= 4 * max_chars else _at_lines(x, max_chars, dense))]
+    return [(s.strip("\n"), i, "go") for i, s in enumerate(x for x in parts if x.strip())]
+
+
+def _at_lines(code: str, limit: int, dense: Callable[[str], int]) -> Iterator[str]:
+    """Whole lines packed up to the limit; a single line over four times the limit goes on in further pieces."""
+    held, size = "", 0
+    for line in code.splitlines(keepends=True):
+        for part in (line[i : i + 4 * limit] for i in range(0, len(line), 4 * limit)):
+            n = dense(part)
+            if held and (size + n > limit or len(held) + len(part) > 4 * limit):
+                yield held
+                held, size = "", 0
+            held, size = held + part, size + n
+    yield held
 
 
 CHUNKERS: dict[str, Callable[[str], list[Piece]]] = {"fixed": fixed_pieces, "semantic": semantic_pieces, "hybrid": paragraph_pieces}

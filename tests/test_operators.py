@@ -202,3 +202,10 @@ def test_routes(spark):
     assert [r.r for r in spark.createDataFrame(rows, "p string, s string").select(files.route("p", "s").alias("r")).collect()] == ["note", "note", "markdown", "document", "notebook", None, "book"]
     tree = spark.createDataFrame([(r"# A|# B".replace("|", "\n"),)], "t string")
     assert tree.count() == 1
+
+
+def test_long_go_declarations_are_kept_whole():
+    table = "package a\n\nvar t = []string{\n" + "".join(f'\t"entry {i}",\n' for i in range(2000)) + "}\n"
+    for code in (table, "var x = `" + "y" * 20_000 + "`\n", "func A() {\n" + (" " * 200 + "b()\n") * 100 + "}\n"):
+        pieces = [c for c, _, _ in chunking.go_pieces(code)]
+        assert "".join("".join(pieces).split()) == "".join(code.split()) and max(map(len, pieces)) <= 8192
