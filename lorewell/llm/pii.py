@@ -7,8 +7,8 @@ so that what is reported and replaced is exactly the source's characters.
 
 Names need no full list: family names are learned from the whole corpus, as the words that stand beside a
 listed given name in one of the usual forms; a name is then a learned family name with a given name (listed
-or not) or an initial beside it. The learned words travel to the workers in slices of at most SLICE words;
-a larger lexicon is applied slice by slice, so nothing is left out.
+or not) or an initial beside it. The learned words are a distributed table: each text is given those of
+them that it holds by a join on its words, so no lexicon is held in one place, however large it grows.
 
 Defined results: null and empty texts have no case; rows delivered twice count once; texts are read
 whole; spans of one kind that overlap are reported once, the earlier kind in KINDS wins over a later one
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from lorewell.session import checkpoint, table
 
 KINDS = ("email", "identity", "phone", "address", "name")
-SLICE = 1_000_000
 
 # Look-alike letters (Cyrillic and Greek) and the Latin letters they imitate.
 LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "aeopcyxijshdqwABEKMHOPCTYXABEZHIKMNOPTYXo"))
@@ -298,7 +297,8 @@ def _learn(batches: Iterator[pa.RecordBatch], givens: frozenset[str]) -> Iterato
         for text in batch.column(0).to_pylist():
             if text and (places := _present(simple_words(text), heads)):
                 found |= _family_evidence(text, givens, places)
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
+        words = sorted(found)
+        yield pa.RecordBatch.from_arrays([pa.array([_SIMPLE.search(w)[0] for w in words], pa.string()), pa.array(words, pa.string())], names=["head", "word"])
 
 
 def _name_at(text: str, m: re.Match, givens: frozenset[str]) -> tuple[int, int] | None:
@@ -372,20 +372,18 @@ def find_spans(text: str, givens: frozenset[str], families: frozenset[str], head
     return sorted((*_back(a, b, shifts), kind) for a, b, kind in taken)
 
 
-def _detect(batches: Iterator[pa.RecordBatch], givens: frozenset[str], families: frozenset[str], names_only: bool) -> Iterator[pa.RecordBatch]:
-    heads = _heads(families)
+def _detect(batches: Iterator[pa.RecordBatch], givens: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """Spans of (doc_id, text, the learned family names that it may hold)."""
     for batch in batches:
         ids, starts, ends, kinds, spans = [], [], [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not text:
-                continue
-            for a, b, kind in find_spans(text, givens, families, heads):
-                if not names_only or kind == "name":
-                    ids.append(doc)
-                    starts.append(a)
-                    ends.append(b)
-                    kinds.append(kind)
-                    spans.append(text[a:b])
+        for doc, text, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            families = frozenset(own or ())
+            for a, b, kind in find_spans(text, givens, families, _heads(families)):
+                ids.append(doc)
+                starts.append(a)
+                ends.append(b)
+                kinds.append(kind)
+                spans.append(text[a:b])
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(kinds, pa.string()), pa.array(spans, pa.string())],
             names=["doc_id", "start", "end", "kind", "span"],
@@ -393,23 +391,38 @@ def _detect(batches: Iterator[pa.RecordBatch], givens: frozenset[str], families:
 
 
 def learned_families(documents: DataFrame, givens: frozenset[str]) -> DataFrame:
-    """(word): the family names that the corpus shows beside listed given names."""
-    return documents.select("text").where("text is not null").mapInArrow(partial(_learn, givens=givens), "word string").distinct()
+    """(head, word): the family names that the corpus shows beside listed given names, and their first run of letters."""
+    return documents.select("text").where("text is not null").mapInArrow(partial(_learn, givens=givens), "head string, word string").distinct()
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(head, ids): each folded word of a batch with the documents that hold it."""
+    for batch in batches:
+        holders: dict[str, list[int]] = {}
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for w in {w if w.isascii() else fold(w) for w in simple_words(text)}:
+                holders.setdefault(w, []).append(doc)
+        yield pa.RecordBatch.from_arrays([pa.array(list(holders), pa.string()), pa.array(list(holders.values()), pa.list_(pa.int64()))], names=["head", "ids"])
+
+
+def with_families(texts: DataFrame, givens: frozenset[str]) -> DataFrame:
+    """(doc_id, text, families): each text with the learned family names whose first run of letters is one of its words."""
+    lexicon = checkpoint(learned_families(texts, givens))
+    held = texts.select("doc_id", "text").mapInArrow(_words, "head string, ids array<long>").join(lexicon, "head")
+    held = held.select(F.explode("ids").alias("doc_id"), "word").groupBy("doc_id").agg(F.collect_set("word").alias("families"))
+    return texts.join(held, "doc_id", "left").select("doc_id", "text", "families")
+
+
+def _givens(given_names: DataFrame) -> frozenset[str]:
+    names = given_names.where("given_name is not null").select("given_name").distinct().collect()  # a fixed table
+    return frozenset(fold(r.given_name.strip()) for r in names)
 
 
 def personal_spans(documents: DataFrame, given_names: DataFrame) -> DataFrame:
     """(doc_id, start, end, kind, span), start and end in characters of the source text."""
-    names = given_names.where("given_name is not null").select("given_name").distinct().collect()  # a fixed table
-    givens = frozenset(fold(r.given_name.strip()) for r in names)
+    givens = _givens(given_names)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    lexicon = checkpoint(learned_families(texts, givens).withColumn("slice", F.lit(0)))
-    slices = max(1, -(-lexicon.count() // SLICE))
-    found = None
-    for i in range(slices):
-        words = frozenset(r.word for r in lexicon.where(F.pmod(F.xxhash64("word"), F.lit(slices)) == i).select("word").collect())
-        part = texts.mapInArrow(partial(_detect, givens=givens, families=words, names_only=i > 0), "doc_id long, start int, end int, kind string, span string")
-        found = part if found is None else found.unionByName(part)
-    return found
+    return with_families(texts, givens).mapInArrow(partial(_detect, givens=givens), "doc_id long, start int, end int, kind string, span string")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -418,24 +431,31 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.select("doc_id", "kind", "span").distinct()
 
 
-def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with [KIND] in the place of each span; of two that overlap the later one is masked."""
+    last = len(text)
+    for start, end, kind in sorted(spans, reverse=True):
+        if end <= last:
+            text = f"{text[:start]}[{kind.upper()}]{text[end:]}"
+            last = start
+    return text
+
+
+def _masked(batches: Iterator[pa.RecordBatch], givens: frozenset[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            last = len(text or "")
-            for s in sorted(spans or (), key=lambda s: -s["start"]):
-                if s["end"] <= last:
-                    text = f"{text[: s['start']]}[{s['kind'].upper()}]{text[s['end'] :]}"
-                    last = s["start"]
-            out.append(text)
+        for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            families = frozenset(own or ())
+            out.append(mask(text, find_spans(text, givens, families, _heads(families))) if text else text)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
 
 def masked_texts(documents: DataFrame, given_names: DataFrame) -> DataFrame:
     """(doc_id, text): each whole text with its personal information replaced by [EMAIL], [PHONE], ..."""
-    spans = personal_spans(documents, given_names).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "kind")).alias("spans"))
-    texts = documents.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
-    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_mask, "doc_id long, text string")
+    givens = _givens(given_names)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").dropDuplicates(["doc_id"])
+    known = with_families(texts.where("text is not null"), givens).unionByName(texts.where("text is null").withColumn("families", F.lit(None).cast("array<string>")))
+    return known.mapInArrow(partial(_masked, givens=givens), "doc_id long, text string")
 
 
 def p8_masked(spark: SparkSession, folder: str) -> DataFrame:

@@ -80,9 +80,28 @@ def test_masking_keeps_the_rest(spark):
     assert {r.kind for r in pii.personal_spans(d, g.limit(0)).collect()} == {"email"}
 
 
-def test_lexicon_slices_add_up(spark, monkeypatch):
-    d = spark.createDataFrame([(i, f"Rose Newby{c} met Will Oldby{c} at r{i}@x.example") for i, c in enumerate("abcdefgh")], "doc_id long, text string")
+def test_each_text_gets_the_learned_names_that_it_holds(spark):
+    d = spark.createDataFrame([(i, f"Rose Newby{c} met Will Oldby{c} at r{i}@x.example") for i, c in enumerate("abcdefgh")] + [(9, "sabra newbya, Élan Oldbyc-Thane"), (10, "nobody")], "doc_id long, text string")
     g = spark.createDataFrame([("Rose", "en"), ("Will", "en")], "given_name string, lang string")
-    whole = {tuple(r) for r in pii.personal_spans(d, g).collect()}
-    monkeypatch.setattr(pii, "SLICE", 3)
-    assert {tuple(r) for r in pii.personal_spans(d, g).collect()} == whole and len(whole) == 24
+    given = pii._givens(g)
+    held = {r.doc_id: set(r.families or ()) for r in pii.with_families(d, given).collect()}
+    assert held[0] == {"newbya", "oldbya"} and held[9] == {"newbya", "oldbyc"} and held[10] == set()
+    lexicon = frozenset(r.word for r in pii.learned_families(d, given).collect())
+    whole = {(r.doc_id, a, b, k) for r in d.collect() for a, b, k in pii.find_spans(r.text, given, lexicon, pii._heads(lexicon))}
+    assert {(r.doc_id, r.start, r.end, r.kind) for r in pii.personal_spans(d, g).collect()} == whole and len(whole) == 25
+
+
+def test_recall_per_kind(spark):
+    """Every form of each kind, planted in running text, is found whole."""
+    given = spark.createDataFrame([("Rose", "en"), ("Gesa", "de")], "given_name string, lang string")
+    forms = {
+        "email": ["a.b@mail.example.com", "jo (at) example.org", "k [at] post [dot] example [dot] org"],
+        "phone": ["+1 312 555 0124", "(808) 555-0160", "030/23125383", "zero two zero seven nine four six zero nine two three"],
+        "identity": ["915-38-2859", "QQ-40-37-27-B", "99521767-U"],
+        "address": ["93 Harrowfen Avenue", "Haselsteig 50a", "58 impasse des Loutres, 00278 Querval", "Plaza del Almez, 6"],
+        "name": ["Rose Thorlinley", "R. Thorlinley", "Thorlinley, Rose", "THORLINLEY Rose"],
+    }
+    planted = [(kind, form) for kind, some in forms.items() for form in some]
+    d = spark.createDataFrame([(i, f"It was noted that {form}, as before. Thanks to Rose Thorlinley!") for i, (_, form) in enumerate(planted)], "doc_id long, text string")
+    got = {(r.doc_id, r.kind, r.span) for r in pii.personal_spans(d, given).collect()}
+    assert {(i, kind, form) for i, (kind, form) in enumerate(planted)} <= got
