@@ -13,12 +13,19 @@ an edge line with nothing but a number whose distance to the page is that of the
 or of the pages around it: numbering may restart by part or skip plates. Neither a form nor a distance
 needs a share of a long document: OFTEN pages, or pages close to each other, are enough.
 
+A misread header shares its first or its second half with a header of its document, or all letters once
+confusable ones are written alike; what then differs by a few characters is one.
+
 Broken words: a line that ends in a hyphen is continued on the next text line, on the next page if needed.
 The corpus decides: if the hyphenated spelling is the more frequent one, the hyphen is the word's own.
 
+The corrections are a distributed table. A page (or paragraph) is given those of its own words by a join,
+words joined over a line end included, so no list of corrections is held in one place.
+
 Defined results: only documents extracted by OCR or from a scan source have cases; chunks with null
 document, page or content take no part in the repair; rows delivered twice count once; an empty page has
-no lines; whole pages are used, however long; ties go to the alphabetically first original.
+no lines; whole pages are used, however long; ties go to the alphabetically first original. A paragraph
+that fills a whole block of pages without a break begins anew with the next block.
 """
 
 from __future__ import annotations
@@ -26,10 +33,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial, reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorewell.session import checkpoint, table
@@ -37,7 +43,6 @@ from lorewell.session import checkpoint, table
 EDGE = 3
 OFTEN, CLOSE = 5, 2
 OUTWEIGHED, LEAST_ORIGINAL = 12, 4
-SLICE = 1_000_000
 # What a reader of scans may see, and what was printed.
 CONFUSIONS = (
     ("c", "e"), ("e", "c"), ("ri", "n"), ("5", "s"), ("@", "a"), ("f", "t"), ("t", "f"), ("l", "i"), ("i", "l"), ("0", "o"), ("1", "l"), ("1", "i"),
@@ -80,7 +85,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) over all rows of a single text column."""
-    return texts.mapInArrow(_count_words, "word string, n long").where(F.length("word").between(2, 40)).groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +179,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, i in enumerate(filled):
                 if k < EDGE or len(filled) - 1 - k < EDGE:
                     line = lines[i].strip()
-                    rows.append({"document_id": doc, "id": chunk, "page": page, "line_no": i + 1, "from_top": k, "from_bottom": len(filled) - 1 - k, "line": line[:300], "form": header_form(line)[:120], "numbers": page_numbers(line), "width": width})
+                    rows.append({"document_id": doc, "id": chunk, "page": page, "line_no": i + 1, "from_top": k, "from_bottom": len(filled) - 1 - k, "line": line, "form": header_form(line), "numbers": page_numbers(line), "width": width})
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
@@ -194,6 +199,34 @@ def _repeats(lines: DataFrame, key: str) -> DataFrame:
     return steps.groupBy("document_id", key).agg(F.count("*").alias("pages"), F.count_if("close").alias("near"))
 
 
+def plain_letters(form: Column) -> Column:
+    """A form with letters that are easily taken for one another written alike."""
+    form = F.translate(F.lower(form), "e35@47f1il|!68h0u9q2ﬁﬂ", "ccsaattlllllbbbonggzll")
+    for seen, written in (("rl", "n"), ("rn", "m"), ("cl", "d"), ("vv", "w"), ("tl", "b"), ("ü", "b"), ("ll", "b")):
+        form = F.replace(form, F.lit(seen), F.lit(written))
+    return form
+
+
+def _misread_heads(forms: DataFrame, heads: DataFrame) -> DataFrame:
+    """(document_id, form) of the distinct forms that differ from a head of their document by a few misread characters.
+
+    Both meet on a half of their words or on their plain letters, so forms are never compared with all heads.
+    """
+    forms = forms.join(heads.withColumnRenamed("head", "form"), ["document_id", "form"], "left_anti")
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        words = F.split(name, " ")
+        middle = F.ceil(F.size(words) / 2).cast("int")
+        half = lambda tag, part: F.when(F.size(words) >= 2, F.concat(F.lit(tag), F.array_join(part, " ")))
+        keys = F.array(half("<", F.slice(words, F.lit(1), middle)), half(">", F.slice(words, middle + 1, F.size(words))), F.concat(F.lit("="), plain_letters(F.col(name))))
+        return df.select("document_id", name, F.explode(F.array_compact(keys)).alias("key"))
+
+    met = keyed(forms, "form").join(keyed(heads, "head"), ["document_id", "key"])
+    distance = F.levenshtein("form", "head", 4)
+    few = (F.abs(F.length("form") - F.length("head")) <= 3) & (distance >= 0) & (distance <= F.greatest(F.lit(1), F.length("head") / 7))
+    return met.where(few).select("document_id", "form").distinct()
+
+
 def edge_kinds(edges: DataFrame, documents: DataFrame) -> DataFrame:
     """(id, line_no, kind): which edge lines are page numbers and which running headers."""
     numbered = edges.where(F.size("numbers") > 0).select("document_id", "id", "page", "line_no", "line", "from_top", "from_bottom", F.explode("numbers").alias("value"))
@@ -211,7 +244,7 @@ def edge_kinds(edges: DataFrame, documents: DataFrame) -> DataFrame:
         )
         .select("id", "line_no").distinct()
     )
-    rest = edges.join(numbers, ["id", "line_no"], "left_anti").where((F.length("form") >= 4) & (F.length("line") <= 90) & F.col("form").rlike(r"\p{L}"))
+    rest = edges.join(numbers, ["id", "line_no"], "left_anti").where((F.length("form") >= 4) & F.col("form").rlike(r"\p{L}"))
     repeats = _repeats(rest, "form").join(sizes, "document_id")
     often = (F.col("pages") >= OFTEN) | (F.col("near") >= 2) | (F.col("pages") >= 0.15 * F.col("n_pages"))
     headed = repeats.where((F.col("pages") >= 2) & often).select("document_id", F.col("form").alias("head"))
@@ -223,12 +256,7 @@ def edge_kinds(edges: DataFrame, documents: DataFrame) -> DataFrame:
     in_name = F.expr("size(filter(words, w -> contains(file_name, w)))")
     named = named.where((F.size("words") >= 2) & (in_name >= 2) & (in_name * 3 >= F.size("words") * 2)).select("id", "line_no", "document_id", F.col("form").alias("head"))
     heads = headed.unionByName(named.select("document_id", "head")).distinct()
-    # A misread header differs from its form in a few characters; a document has few forms.
-    alike = (
-        rest.join(heads, "document_id")
-        .where((F.abs(F.length("form") - F.length("head")) <= 3) & (F.levenshtein("form", "head", 4) >= 0) & (F.levenshtein("form", "head") <= F.greatest(F.lit(1), F.length("head") / 7)))
-        .select("id", "line_no")
-    )
+    alike = rest.join(_misread_heads(rest.select("document_id", "form").distinct(), heads).unionByName(heads.withColumnRenamed("head", "form")).distinct(), ["document_id", "form"]).select("id", "line_no")
     chapters = rest.where(F.col("line").rlike(CHAPTER))
     chapters = chapters.where(F.least("from_top", "from_bottom") <= 1).where(~F.col("line").rlike(r"[.;,:]\s*$")).select("id", "line_no")
     others = rest.join(usual, "form").select("id", "line_no")
@@ -283,11 +311,12 @@ def _first_difference(a: str, b: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-def _ocr_lines(batches: Iterator[pa.RecordBatch], misread: dict[str, str]) -> Iterator[pa.RecordBatch]:
+def _ocr_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Body lines with a misread word; a broken word counts for the line that its first misread character is on."""
     for batch in batches:
         ids, nos = [], []
-        for chunk, text, skip, broken in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for chunk, text, skip, broken, fixes in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            misread = {f["word"]: f["original"] for f in fixes}
             skipped, joined = set(skip or ()), {b["line_no"]: b["joined"] for b in broken or ()}
             tail, carried = False, False  # the line before ended in a broken word; and the rest of that word is misread
             for i, line in enumerate(text.split("\n"), 1):
@@ -332,16 +361,29 @@ def _marked(pages: DataFrame, kinds: DataFrame, broken: DataFrame) -> DataFrame:
     return pages.join(skip, "id", "left").join(ends, "id", "left")
 
 
+def _page_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, ids): each word of a batch, words joined over a line end included, with the pages that hold it."""
+    for batch in batches:
+        holders: dict[str, list[int]] = {}
+        for chunk, text, broken in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for w in {*TOKEN.findall(text.lower().replace("‐", "-")), *(b["joined"] for b in broken or ())}:
+                if len(w) >= 3:
+                    holders.setdefault(w, []).append(chunk)
+        yield pa.RecordBatch.from_arrays([pa.array(list(holders), pa.string()), pa.array(list(holders.values()), pa.list_(pa.int64()))], names=["word", "keys"])
+
+
+def own_fixes(words: DataFrame, fixes: DataFrame, *key: Column) -> DataFrame:
+    """(key, fixes): the corrections (word, original) of the words of each key; words: (word, keys)."""
+    held = words.join(fixes, "word").select(F.explode("keys").alias("k"), "word", "original").select(*key, "word", "original")
+    return held.groupBy(*[c for c in held.columns if c not in ("word", "original")]).agg(F.collect_set(F.struct("word", "original")).alias("fixes"))
+
+
 def noisy_lines(spark: SparkSession, folder: str) -> DataFrame:
     """(id, line_no, kind): every noisy line of a scanned page."""
     pages, kinds, broken, fixes = _prepared(spark, folder)
     marked = checkpoint(_marked(pages, kinds, broken).select("id", "content", "skip", "broken"))
-    slices = max(1, -(-fixes.count() // SLICE))
-    parts = []
-    for i in range(slices):  # one slice unless there are more than SLICE misread words
-        words = {r.word: r.original for r in fixes.where(F.pmod(F.xxhash64("word"), F.lit(slices)) == i).collect()}
-        parts.append(marked.mapInArrow(partial(_ocr_lines, misread=words), "id long, line_no int"))
-    ocr = reduce(DataFrame.unionByName, parts).withColumn("kind", F.lit("ocr"))
+    own = own_fixes(marked.select("id", "content", "broken").mapInArrow(_page_words, "word string, keys array<long>"), fixes, F.col("k").alias("id"))
+    ocr = marked.join(own, "id").select("id", "content", "skip", "broken", "fixes").mapInArrow(_ocr_lines, "id long, line_no int").withColumn("kind", F.lit("ocr"))
     return kinds.unionByName(broken.select("id", "line_no", F.lit("hyphen").alias("kind"))).unionByName(ocr).distinct()
 
 
@@ -354,21 +396,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 _OPENS = re.compile(r"^(?: {2,}|\t)\S")
 
 
-def _repaired(batches: Iterator[pa.RecordBatch], fixes: dict[str, str]) -> Iterator[pa.RecordBatch]:
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(document_id, page, k, starts, text): the paragraphs of a page; the first may continue the page before."""
-
-    def fix(m: re.Match) -> str:
-        word = m.group()
-        new = fixes.get(word.lower().replace("‐", "-"))
-        if not new:
-            return word
-        return new.upper() if word.isupper() and len(word) > 1 else new[0].upper() + new[1:] if word[0].isupper() else new
-
     for batch in batches:
         out: list[tuple] = []
         for doc, page, text, skip, broken in zip(*(batch.column(i).to_pylist() for i in range(5))):
             skipped, joined = set(skip or ()), {b["line_no"] for b in broken or ()}
-            paragraphs: list[tuple[bool, str]] = []
+            paragraphs: list[tuple[bool, list[str]]] = []
             fresh, glue = False, ""
             for i, line in enumerate(text.split("\n"), 1):
                 if i in skipped:
@@ -376,53 +410,75 @@ def _repaired(batches: Iterator[pa.RecordBatch], fixes: dict[str, str]) -> Itera
                 if not line.strip():
                     fresh = fresh or bool(paragraphs)
                     continue
-                words = line.strip()
+                words, opens = line.strip(), bool(_OPENS.match(line))
                 if i in joined:
                     words = words.rstrip(HYPHENS + " ")
-                if paragraphs and not fresh and not _OPENS.match(line):
-                    starts, before = paragraphs[-1]
-                    paragraphs[-1] = (starts, before + glue + words)
+                if paragraphs and not fresh and not opens:
+                    paragraphs[-1][1].append(glue + words)
                 else:
-                    paragraphs.append((fresh or bool(_OPENS.match(line)) and bool(paragraphs), words) if paragraphs else (bool(_OPENS.match(line)), words))
+                    paragraphs.append((bool(paragraphs) or opens, [words]))
                 # A word's own hyphen at the end of a line is continued without a blank, too.
                 fresh, glue = False, "" if i in joined or _LAST_WORD.search(words) else " "
-            for k, (starts, words) in enumerate(paragraphs):
-                last = k == len(paragraphs) - 1
-                out.append((doc, page, k, starts or k > 0, TOKEN.sub(fix, words) + ("" if last and glue == "" else " ")))
+            for k, (starts, parts) in enumerate(paragraphs):
+                out.append((doc, page, k, starts, "".join(parts) + ("" if k == len(paragraphs) - 1 and glue == "" else " ")))
         cols = list(zip(*out)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string()))], names=["document_id", "page", "k", "starts", "text"])
 
 
+_PARAGRAPH_WORDS = pa.schema([("word", pa.string()), ("keys", pa.list_(pa.struct([("document_id", pa.int64()), ("paragraph", pa.int64())])))])
+
+
+def _paragraph_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, keys): each word of a batch with the paragraphs that hold it."""
+    for batch in batches:
+        holders: dict[str, list[dict]] = {}
+        for doc, paragraph, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for w in set(TOKEN.findall(text.lower().replace("‐", "-"))):
+                if len(w) >= 3:
+                    holders.setdefault(w, []).append({"document_id": doc, "paragraph": paragraph})
+        yield pa.RecordBatch.from_arrays([pa.array(list(holders), pa.string()), pa.array(list(holders.values()), _PARAGRAPH_WORDS.field("keys").type)], schema=_PARAGRAPH_WORDS)
+
+
+def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(document_id, paragraph, page, text) with the misread words of each paragraph corrected."""
+    for batch in batches:
+        out = []
+        for text, fixes in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            original = {f["word"]: f["original"] for f in fixes or ()}
+
+            def fix(m: re.Match, original: dict[str, str] = original) -> str:
+                word = m.group()
+                new = original.get(word.lower().replace("‐", "-"))
+                if not new:
+                    return word
+                return new.upper() if word.isupper() and len(word) > 1 else new[0].upper() + new[1:] if word[0].isupper() else new
+
+            out.append(TOKEN.sub(fix, text) if original else text)
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.string())], names=["document_id", "paragraph", "page", "text"])
+
+
 def paragraphs(spark: SparkSession, folder: str, block: int = 1024) -> DataFrame:
     """(document_id, paragraph, page, text): continuous paragraphs of scanned documents and the page each began on."""
     pages, kinds, broken, fixes = _prepared(spark, folder)
-    chosen = fixes.limit(SLICE + 1).collect()
-    marked = _marked(pages, kinds, broken)
-    if len(chosen) <= SLICE:
-        rows = marked.select("document_id", "page", "content", "skip", "broken").mapInArrow(
-            partial(_repaired, fixes={r.word: r.original for r in chosen}), "document_id long, page int, k int, starts boolean, text string"
-        )
-    else:  # too many corrections to carry along: they are joined to the words of each page first
-        words = pages.select("id", F.explode(F.array_distinct(F.split(F.lower("content"), r"[^\p{L}\p{N}@\-]+"))).alias("word")).join(fixes, "word")
-        own = words.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "original"))).alias("fixes"))
-        rows = marked.join(own, "id", "left").select("document_id", "page", "content", "skip", "broken", "fixes").mapInArrow(_repaired_own, "document_id long, page int, k int, starts boolean, text string")
+    rows = _marked(pages, kinds, broken).select("document_id", "page", "content", "skip", "broken").mapInArrow(_assembled, "document_id long, page int, k int, starts boolean, text string")
     rows = checkpoint(rows.withColumn("block", F.floor(F.col("page") / block)))
     # The number of a paragraph: starts in earlier blocks of pages, plus those up to here in its own block.
     sums = rows.groupBy("document_id", "block").agg(F.sum(F.col("starts").cast("long")).alias("n"))
-    earlier = Window.partitionBy("document_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    by_block = Window.partitionBy("document_id").orderBy("block")
+    # A paragraph that fills a whole block ends with it, so no paragraph grows without bound.
+    sums = sums.withColumn("endless", F.coalesce(F.lag("n").over(by_block) == 0, F.lit(False)).cast("long"))
+    own = F.col("n") + F.col("endless")
+    sums = sums.withColumn("before", F.sum(own).over(by_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).drop("n", "endless")
     here = Window.partitionBy("document_id", "block").orderBy("page", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("within", F.sum(F.col("starts").cast("long")).over(here)).join(sums, ["document_id", "block"])
     rows = rows.withColumn("paragraph", F.col("before") + F.col("within"))
     parts = F.sort_array(F.collect_list(F.struct("page", "k", "text")))
-    return rows.groupBy("document_id", "paragraph").agg(F.min("page").alias("page"), F.trim(F.array_join(F.transform(parts, lambda p: p["text"]), "")).alias("text"))
-
-
-def _repaired_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            yield from _repaired(iter([row.select([0, 1, 2, 3, 4])]), dict(row.column(5).to_pylist()[0] or ()))
+    whole = rows.groupBy("document_id", "paragraph").agg(F.min("page").alias("page"), F.trim(F.array_join(F.transform(parts, lambda p: p["text"]), "")).alias("text"))
+    whole = checkpoint(whole.select("document_id", "paragraph", "page", "text"))
+    words = whole.select("document_id", "paragraph", "text").mapInArrow(_paragraph_words, "word string, keys array<struct<document_id: long, paragraph: long>>")
+    own = own_fixes(words, fixes, F.col("k.document_id").alias("document_id"), F.col("k.paragraph").alias("paragraph"))
+    repaired = whole.join(own, ["document_id", "paragraph"], "left").select("document_id", "paragraph", "page", "text", "fixes")
+    return repaired.mapInArrow(_repaired, "document_id long, paragraph long, page int, text string")
 
 
 def p2_paragraphs(spark: SparkSession, folder: str) -> DataFrame:

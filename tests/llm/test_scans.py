@@ -100,6 +100,34 @@ def test_a_broken_word_is_misread_where_its_character_is():
 
     text = "an old ke-\nttlc was here\nand a rn-\narket too"
     broken = [{"line_no": 1, "joined": "kettlc"}, {"line_no": 3, "joined": "rnarket"}]
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([None], pa.list_(pa.int32())), pa.array([broken])], names=["id", "content", "skip", "broken"])
-    (out,) = _ocr_lines(iter([batch]), {"kettlc": "kettle", "rnarket": "market"})
+    fixes = [{"word": "kettlc", "original": "kettle"}, {"word": "rnarket", "original": "market"}]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([None], pa.list_(pa.int32())), pa.array([broken]), pa.array([fixes])], names=["id", "content", "skip", "broken", "fixes"])
+    (out,) = _ocr_lines(iter([batch]))
     assert out.column("line_no").to_pylist() == [2, 3]
+
+
+def test_joined_words_are_corrected_over_lines_and_pages(spark, tmp_path):
+    pages = ["an old stone mo-\ndcrn kiln stood here and the rnar-", "ket was closed"]
+    plain = [(100 + i, 1, "The market had a modern kiln, a modern market.", None, 0, None) for i in range(20)]
+    _book(spark, str(tmp_path), pages, plain)
+    assert [r.text for r in paragraphs(spark, str(tmp_path)).collect()] == ["an old stone modern kiln stood here and the market was closed"]
+    got = {(r.id, r.line_no, r.kind) for r in noisy_lines(spark, str(tmp_path)).collect()}
+    assert {(1, 1, "hyphen"), (1, 2, "hyphen"), (1, 2, "ocr")} <= got
+
+
+def test_long_and_misread_headers(spark, tmp_path):
+    long = "proceedings of the society for the study of tidal mills, weirs and saltmarsh drainage in the northern counties"
+    body = lambda i: "\n".join(f"the {w} of {'abcdef'[i] * 9} {'uvwxyz'[i] * 9} was seen by all of them and went on" for w in ("river", "kettle", "garden"))
+    pages = [(long.replace("society", "socicty") if i == 3 else long) + "\n" + body(i) for i in range(6)]
+    _book(spark, str(tmp_path), pages)
+    got = {(r.id, r.line_no) for r in noisy_lines(spark, str(tmp_path)).where("kind = 'header'").collect()}
+    assert got == {(i + 1, 1) for i in range(6)}
+
+
+def test_a_paragraph_without_end_is_divided_by_blocks(spark, tmp_path):
+    pages = [f"line {chr(97 + i)} goes on and" for i in range(6)]
+    _book(spark, str(tmp_path), pages)
+    whole = [(r.page, r.text) for r in paragraphs(spark, str(tmp_path)).orderBy("page").collect()]
+    assert len(whole) == 1
+    parts = [(r.page, r.text) for r in paragraphs(spark, str(tmp_path), block=3).orderBy("page").collect()]
+    assert [p for p, _ in parts] == [1, 3, 6] and " ".join(t for _, t in parts) == whole[0][1]
