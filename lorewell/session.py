@@ -15,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 _SHIPPED: set[str] = set()
@@ -50,11 +51,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir).
 
-    Only a session without that setting, as in tests, gets a folder of its own.
+    Only a session on one machine without that setting, as in tests, gets a folder of its own; on a cluster a
+    folder of one machine would lose what is written there, so that is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "lorewell-checkpoints"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -63,3 +67,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage into the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a checkpoint that nothing reads any more, as those of the rounds of an iteration."""
+    file = df._jdf.logicalPlan().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
