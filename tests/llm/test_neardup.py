@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lorewell.llm import neardup
 
 
@@ -54,13 +56,72 @@ def test_large_families_are_compared_whole(spark, monkeypatch):
     assert len(_found(spark, rows, **neardup.CHUNK_RULE)) == 90 * 89 // 2
 
 
-def test_large_families_at_the_threshold(spark):
-    rng = random.Random(7)
-    own = lambda i, n: " ".join(f"o{i}x{j}" for j in range(n))
-    # 100 common runs and 50 of its own: every pair has a similarity of exactly 0.5.
-    rows = [(i, " ".join(f"c{j}" for j in range(102)) + " " + own(i, 50), 0) for i in range(400)]
-    rng.shuffle(rows)
-    assert len(_found(spark, rows, **neardup.CHUNK_RULE)) > 0.98 * (400 * 399 // 2)
+def _family(n, common=102, own=50):
+    """Texts with common - 2 runs in all of them and `own` of their own; at 102 and 50 every pair has a similarity of exactly 0.5."""
+    return [" ".join(f"c{j}" for j in range(common)) + " " + " ".join(f"o{i}x{j}" for j in range(own)) for i in range(n)]
+
+
+def _met(texts, seed=7):
+    """The share of all pairs that the tries meet and the sketch keeps, without Spark."""
+    import numpy as np
+    import pyarrow as pa
+
+    ids = np.random.default_rng(seed).permutation(len(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], names=["id", "text"])
+    keyed = pa.Table.from_batches(neardup.signatures(iter([batch]), depth=neardup.full_depth(0.5), run=3, least_words=20, least_distinct=1)).sort_by([(k, "ascending") for k in ("key1", "key2", "key3")])
+    pairs = {(a, b) for out in neardup.trie_pairs(iter(keyed.combine_chunks().to_batches()), 37) for a, b in zip(*(c.to_pylist() for c in out.columns)) if a < b}
+    return len(pairs) / (len(texts) * (len(texts) - 1) / 2)
+
+
+def test_full_depth_follows_from_the_target():
+    assert neardup.full_depth(0.5) == 3 and neardup.full_depth(0.6) == 4
+    for s in (0.5, 0.6, 0.8):
+        d = neardup.full_depth(s)
+        assert 1 - (1 - s**d) ** neardup.TRIES >= neardup.TARGET > 1 - (1 - s ** (d + 1)) ** neardup.TRIES
+
+
+@pytest.mark.parametrize("n", [50, 200, 1500])
+def test_recall_at_the_threshold_does_not_depend_on_the_size_of_a_family(n):
+    assert _met(_family(n)) >= 0.99
+
+
+def test_recall_where_very_many_texts_share_minima(spark):
+    # 10,000 texts with boilerplate in common (similarity 0.24), and pairs at 0.5 among them.
+    boiler = [" ".join(f"p{j}" for j in range(42)) + " " + " ".join(f"b{i}x{j}" for j in range(64)) for i in range(10_000)]
+    pairs = [(f"{t}", f"{t}") for t in boiler[:150]]
+    rows = [(i, t, 0) for i, t in enumerate(boiler)]
+    for i in range(150):
+        kept = boiler[i].split(" ")[:72]  # 70 of its runs stay, and 35 are new
+        rows.append((20_000 + i, " ".join(kept + [f"z{i}x{j}" for j in range(36)]), 0))
+    got = _found(spark, rows, heavy_rows=2000, **neardup.CHUNK_RULE)
+    true = {(i, 20_000 + i) for i in range(150)}
+    sets = {i: neardup.shingle_hashes([t], 3, 20, 1)[2] for i, t, _ in rows if i < 150 or i >= 20_000}
+    like = lambda a, b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))
+    assert all(0.49 < like(a, b) < 0.52 for a, b in true)
+    true = {(a, b) for a, b in true if like(a, b) >= 0.5}
+    assert len(true - got) <= 0.01 * len(true) and len(pairs) == 150
+
+
+def test_groups_are_those_of_all_pairs_and_linear_in_rows(spark):
+    rows = [(i, t, 0) for i, t in enumerate(_texts(5, 120))] + [(10_000 + i, t, 0) for i, t in enumerate(_family(300, 120, 20))]
+    df = spark.createDataFrame(rows, "id long, text string, rep long")
+    pairs, copies = neardup.similar_pairs(df, "id", "text", **neardup.CHUNK_RULE)
+    expected = {(r.id, r.group_id) for r in neardup.groups(neardup.expand(pairs, copies)).collect()}
+    assert {(r.id, r.group_id) for r in neardup.similar_groups(df, "id", "text", **neardup.CHUNK_RULE).collect()} == expected
+    found = neardup.Similar(df.where("id >= 10000"), "id", "text", **neardup.CHUNK_RULE)
+    stars = found.candidates("star")
+    assert stars.count() <= 300 * neardup.TRIES
+    labels = spark.createDataFrame([(10_000 + i, 10_000) for i in range(300)], "id long, label long")
+    assert found.candidates("apart", labels).count() == 0
+    assert neardup.similar_groups(df.limit(0), "id", "text", **neardup.CHUNK_RULE).count() == 0
+
+
+def test_a_full_prefix_is_divided_into_blocks_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SAMPLE_ONE_IN", 1)
+    rows = [(i, t, 0) for i, t in enumerate(_family(60, 140, 10))]
+    assert len(_found(spark, rows, heavy_rows=9, **neardup.CHUNK_RULE)) == 60 * 59 // 2
+    found = neardup.Similar(spark.createDataFrame(rows, "id long, text string, rep long"), "id", "text", heavy_rows=9, **neardup.CHUNK_RULE)
+    assert len(found.heavy) == 3 and (found.heavy[2][1] > 1).any()
 
 
 def test_heavy_prefixes_only_change_the_placement(spark, monkeypatch):
