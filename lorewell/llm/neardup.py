@@ -3,15 +3,15 @@
 Every distinct text gets TRIES signatures over its word runs. In each trie the texts are sorted by
 signature. A text looks for partners under its longest prefix first; the prefix is shortened until the
 tries together meet a pair at the threshold with probability TARGET. Every text gets there, however many
-texts share its prefixes: the depth follows from threshold, TRIES and TARGET alone (`full_depth`). Where at
-most BUCKET texts share a still shorter prefix it is shortened further, which costs little and brings the
-recall near 1. Texts under one prefix are compared whole, whatever their number. Pairs must also agree in a
+texts share its prefixes: the depth follows from threshold, TRIES and TARGET alone (`full_depth`). In SHORT
+of the tries it is shortened further where at most BUCKET texts share a still shorter prefix, which costs
+little and brings the recall near 1. Texts under one prefix are compared whole, whatever their number. Pairs must also agree in a
 128-bit sketch (2 bits of 64 minima) to within SKETCH_DEVIATIONS deviations of the threshold; whatever
 passes is verified on the exact sets of word runs.
 
 Recall: a pair of similarity s shares a prefix of d minima in one trie with probability s**d, so at least
 1 - (1 - s**d)**TRIES of the pairs are met, d being the full depth: 0.998 at s = 0.5 with d = 3, 0.9999 at
-s = 0.55. The sketch keeps 0.9997 of the pairs at the threshold itself.
+s = 0.55. The sketch keeps 0.9987 of the pairs at the threshold itself.
 
 Groups: the pairs of a dense family grow with its square, its groups must not. The texts under a prefix
 first meet only the least id among them; what is verified is connected. Then only texts of different
@@ -41,10 +41,10 @@ from pyspark.sql import functions as F
 
 from lorewell.session import checkpoint, forget, table
 
-TRIES, TARGET, BUCKET = 48, 0.998, 64
+TRIES, SHORT, TARGET, BUCKET = 48, 8, 0.998, 64
 HEAVY = 50_000
 SAMPLE_ONE_IN = 64
-SKETCH_DEVIATIONS = 3.5
+SKETCH_DEVIATIONS = 3.0
 WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
 
@@ -155,6 +155,7 @@ def signatures(
                 continue
             m = minima(hashes, offsets, mix)
             k1, k2, k3 = _prefixes(m, depth)
+            k1, k2 = (np.hstack([k[:, :SHORT], k3[:, SHORT:]]) for k in (k1, k2))
             for level, (found, _) in enumerate(heavy[:2]):
                 at = np.isin(k1, found)
                 k1 = np.where(at, k2 if level == 0 else k3, k1)
@@ -166,7 +167,7 @@ def signatures(
             shift = (np.arange(32, dtype=np.uint64) * _U(2))[None, :]
             s1, s2 = (two[:, :32] << shift).sum(1, dtype=np.uint64), (two[:, 32:] << shift).sum(1, dtype=np.uint64)
             k1, k2, k3 = k1.ravel(), k2.ravel(), k3.ravel()
-            of = np.repeat(rows, TRIES)
+            of, full = np.repeat(rows, TRIES), k1
             if len(heavy) == 3 and len(heavy[2][0]) and (np.isin(k3, heavy[2][0])).any():
                 keys, blocks = heavy[2]
                 place = np.minimum(np.searchsorted(keys, k3), len(keys) - 1)
@@ -176,14 +177,14 @@ def signatures(
                 other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
                 cell = np.minimum(own[at], other) * parts[at] + np.maximum(own[at], other)
                 k1, k2, k3 = np.where(parts[at] > 1, _mix(k1[at] + cell.astype(np.uint64) + _U(1)), k1[at]), k2[at], k3[at]
-                of = of[at]
+                of, full = of[at], full[at]
             back = np.zeros(of.max() + 1, np.int64)
             back[rows] = np.arange(len(rows))
             text_of = back[of]
             columns = [
                 pa.array(k1.view(np.int64)),
-                pa.array(k2.astype(np.uint32).view(np.int32)),
-                pa.array(k3.astype(np.uint32).view(np.int32)),
+                pa.array(np.where(full == k3, _U(0), k2).astype(np.uint32).view(np.int32)),  # nothing is left of a prefix that stands under its full key
+                pa.array(np.where(full == k3, _U(0), k3).astype(np.uint32).view(np.int32)),
                 pa.array(s1.view(np.int64)[text_of]),
                 pa.array(s2.view(np.int64)[text_of]),
                 pa.array(ids[lo + of]),

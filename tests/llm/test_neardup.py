@@ -69,7 +69,7 @@ def _met(texts, seed=7):
     ids = np.random.default_rng(seed).permutation(len(texts))
     batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], names=["id", "text"])
     keyed = pa.Table.from_batches(neardup.signatures(iter([batch]), depth=neardup.full_depth(0.5), run=3, least_words=20, least_distinct=1)).sort_by([(k, "ascending") for k in ("key1", "key2", "key3")])
-    pairs = {(a, b) for out in neardup.trie_pairs(iter(keyed.combine_chunks().to_batches()), 37) for a, b in zip(*(c.to_pylist() for c in out.columns)) if a < b}
+    pairs = {(a, b) for out in neardup.trie_pairs(iter(keyed.combine_chunks().to_batches()), 35) for a, b in zip(*(c.to_pylist() for c in out.columns)) if a < b}
     return len(pairs) / (len(texts) * (len(texts) - 1) / 2)
 
 
