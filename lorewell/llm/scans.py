@@ -244,8 +244,10 @@ def edge_kinds(edges: DataFrame, documents: DataFrame) -> DataFrame:
         )
         .select("id", "line_no").distinct()
     )
+    numbers = checkpoint(numbers)
     rest = edges.join(numbers, ["id", "line_no"], "left_anti").where((F.length("form") >= 4) & F.col("form").rlike(r"\p{L}"))
-    repeats = _repeats(rest, "form").join(sizes, "document_id")
+    rest = checkpoint(rest)
+    repeats = checkpoint(_repeats(rest, "form").join(sizes, "document_id"))
     often = (F.col("pages") >= OFTEN) | (F.col("near") >= 2) | (F.col("pages") >= 0.15 * F.col("n_pages"))
     headed = repeats.where((F.col("pages") >= 2) & often).select("document_id", F.col("form").alias("head"))
     # A form that most documents with several pages repeat is a header where it stands once, too.
@@ -255,7 +257,7 @@ def edge_kinds(edges: DataFrame, documents: DataFrame) -> DataFrame:
     named = rest.join(scanned_documents(documents), "document_id").where(F.least("from_top", "from_bottom") <= 1).withColumn("words", words)
     in_name = F.expr("size(filter(words, w -> contains(file_name, w)))")
     named = named.where((F.size("words") >= 2) & (in_name >= 2) & (in_name * 3 >= F.size("words") * 2)).select("id", "line_no", "document_id", F.col("form").alias("head"))
-    heads = headed.unionByName(named.select("document_id", "head")).distinct()
+    heads = checkpoint(headed.unionByName(named.select("document_id", "head")).distinct())
     alike = rest.join(_misread_heads(rest.select("document_id", "form").distinct(), heads).unionByName(heads.withColumnRenamed("head", "form")).distinct(), ["document_id", "form"]).select("id", "line_no")
     chapters = rest.where(F.col("line").rlike(CHAPTER))
     chapters = chapters.where(F.least("from_top", "from_bottom") <= 1).where(~F.col("line").rlike(r"[.;,:]\s*$")).select("id", "line_no")
