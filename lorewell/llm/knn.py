@@ -7,12 +7,16 @@ and lies within BOUND * sqrt((1 - f*f) / (f*f * (BITS - 1))) of the truth with h
 vectors whose upper bound reaches what is asked for are reranked, first on 8-bit components that travel
 with the codes, then exactly on the stored vectors.
 
-Placement for all pairs: cells around centroids fitted on a documented, bounded sample
-(SAMPLE_PER_CELL vectors a cell, MOST_CELLS cells at most); every vector is a member of its nearest cell
-and a query of its PROBES nearest. A crowded cell is divided by hash into blocks that meet pairwise, so a
-cell is never one task. For a stated query set every query block meets every row block.
-
-Each query emits its TOP nearest of a block only, so the result of a dense ball stays linear. Of
+Placement: every vector is a member of its nearest cell and a query of its PROBES nearest (a stated query
+set of its QUERY_PROBES nearest). Cells lie around centroids of two levels. The upper ones are fitted by
+the driver on at most TOP_SAMPLE vectors, the lower ones by one task for each upper cell, on SAMPLE_PER_CELL
+vectors a cell and at most SUB_SAMPLE of an upper cell; all vectors are indexed. A cell has CELL_ROWS
+vectors on average up to MOST_CELLS cells. A crowded cell is divided by hash into blocks that meet pairwise,
+so a cell is never one task.
+
+A block sends each query's nearest only, as far as 8 bits can tell. A query that has more than DENSE of
+them there (a ball of vectors that are nearly equal, or equal but for their length) is asked again with its
+stored numbers, and such a block sends its exact TOP, so the result of a dense ball stays linear. Of
 identical vectors only the TOP + 1 lowest rowids can be in one another's TOP by the tie rule (the lower
 rowid first), so the rest need not meet.
 
@@ -33,9 +37,11 @@ from pyspark.sql import functions as F
 
 from lorewell.session import checkpoint, table
 
-DIMENSIONS, BITS, BOUND = 64, 256, 3.0
-CELL_ROWS, MOST_CELLS, SAMPLE_PER_CELL, PROBES = 400, 16_384, 32, 5
-BLOCK_ROWS, QUERY_ROWS = 32_768, 8_192
+DIMENSIONS, BITS, BOUND = 64, 256, 4.0
+CELL_ROWS, MOST_CELLS, SAMPLE_PER_CELL, PROBES, QUERY_PROBES = 400, 1 << 18, 32, 5, 24
+TWO_LEVELS, MOST_UPPER, UPPER_PROBES, TOP_SAMPLE, SUB_SAMPLE = 256, 1024, 8, 1 << 16, 1 << 17
+BLOCK_ROWS, QUERY_ROWS, DENSE = 32_768, 8_192, 64
+NOBODY = np.iinfo(np.int64).min
 COARSE = 0.006  # the 8-bit inner product lies within this of the exact one
 LINK_COSINE, LINK_TOP = 0.90, 5
 
@@ -75,46 +81,114 @@ def eight_bits(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.rint(x / scale[:, None]).astype(np.int8), scale.astype(np.float32)
 
 
-def centroids(sample: np.ndarray, cells: int, rounds: int = 6) -> np.ndarray:
-    """`cells` centroids in two levels of k-means; every step is a matrix product over the bounded sample."""
-
-    def fit(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-        k = min(k, len(points))
-        c = points[rng.choice(len(points), k, replace=False)]
-        for _ in range(rounds):
-            label = np.argmax(points @ c.T - 0.5 * (c**2).sum(1), axis=1)
-            order = np.argsort(label, kind="stable")
-            starts = np.searchsorted(label[order], np.arange(k))
-            n = np.bincount(label, minlength=k)
-            has = n > 0
-            sums = np.add.reduceat(points[order], starts[has], axis=0)
-            c = c.copy()
-            c[has] = sums / n[has, None]
-        return c
-
-    rng = np.random.default_rng(7)
-    if cells < 256:
-        return fit(sample, cells, rng)
-    top = fit(sample, int(cells**0.5), rng)
-    label = np.argmax(sample @ top.T - 0.5 * (top**2).sum(1), axis=1)
-    parts = []
-    for j in range(len(top)):
-        own = sample[label == j]
-        if len(own):
-            parts.append(fit(own, max(1, round(cells * len(own) / len(sample))), rng))
-    return np.concatenate(parts)
-
-
-def nearest_cells(x: np.ndarray, c: np.ndarray, probes: int) -> np.ndarray:
-    probes = min(probes, len(c))
-    out = np.empty((len(x), probes), np.int32)
+def centroids(points: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+    """At most `k` centroids of a bounded sample; every step is a matrix product."""
+    k = max(1, min(k, len(points)))
+    points = points[np.lexsort(points.T[:3])]  # the same whatever order the rows came in
+    c = points[np.random.default_rng(7).choice(len(points), k, replace=False)]
+    for _ in range(rounds):
+        label = nearest_of(points, c)
+        order = np.argsort(label, kind="stable")
+        starts = np.searchsorted(label[order], np.arange(k))
+        n = np.bincount(label, minlength=k)
+        has = n > 0
+        c = c.copy()
+        c[has] = np.add.reduceat(points[order], starts[has], axis=0) / n[has, None]
+    return c
+
+
+def nearest_of(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     half = (0.5 * (c**2).sum(1)).astype(np.float32)
-    for lo in range(0, len(x), 2048):
-        score = x[lo : lo + 2048] @ c.T - half
-        part = np.argpartition(-score, probes - 1, axis=1)[:, :probes] if probes < len(c) else np.tile(np.arange(len(c)), (len(score), 1))
-        order = np.argsort(-np.take_along_axis(score, part, 1), axis=1)
-        out[lo : lo + 2048] = np.take_along_axis(part, order, 1)
-    return out
+    return np.concatenate([np.argmax(x[lo : lo + 4096] @ c.T - half, axis=1) for lo in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+
+
+class Cells:
+    """Centroids of one or two levels, and about how many vectors each lowest cell has."""
+
+    def __init__(self, upper: np.ndarray, lower: list[np.ndarray], rows: list[np.ndarray]):
+        self.upper, self.lower, self.rows = upper, lower, np.concatenate(rows)
+        self.start = np.concatenate([[0], np.cumsum([len(c) for c in lower])])
+        self.half = [(0.5 * (c**2).sum(1)).astype(np.float32) for c in lower]
+
+    def __len__(self) -> int:
+        return int(self.start[-1])
+
+    def nearest(self, x: np.ndarray, probes: int, upper_probes: int = UPPER_PROBES) -> np.ndarray:
+        """(vectors x probes) numbers of the nearest cells, the nearest first; -1 where there are fewer."""
+        tops, width = min(upper_probes, len(self.upper)), max(map(len, self.lower))
+        probes = min(probes, len(self))
+        out = np.full((len(x), probes), -1, np.int32)
+        upper_half = (0.5 * (self.upper**2).sum(1)).astype(np.float32)
+        step = max(64, min(2048, 4_000_000 // (tops * width)))
+        for lo in range(0, len(x), step):
+            part = x[lo : lo + step]
+            up = part @ self.upper.T - upper_half
+            near = np.argpartition(-up, tops - 1, axis=1)[:, :tops] if tops < len(self.upper) else np.tile(np.arange(tops), (len(part), 1))
+            score = np.full((len(part), tops * width), -np.inf, np.float32)
+            for j in np.unique(near):
+                row, slot = np.nonzero(near == j)
+                at = slot[:, None] * width + np.arange(len(self.lower[j]))
+                score[row[:, None], at] = part[row] @ self.lower[j].T - self.half[j]
+            take = min(probes, score.shape[1])
+            best = np.argpartition(-score, take - 1, axis=1)[:, :take] if take < score.shape[1] else np.tile(np.arange(take), (len(part), 1))
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), axis=1), 1)
+            cell = self.start[np.take_along_axis(near, best // width, 1)] + best % width
+            out[lo : lo + step, :take] = np.where(np.isfinite(np.take_along_axis(score, best, 1)), cell, -1)
+        return out
+
+
+def _share(ids: np.ndarray, seed: int) -> np.ndarray:
+    """A number in [0, 1) for each id, the same everywhere."""
+    x = (ids.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+
+def _sample_by_upper(batches: Iterator[pa.RecordBatch], upper: np.ndarray, rate: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, x = unit_rows(batch)
+        at = nearest_of(x, upper)
+        keep = np.flatnonzero(_share(ids, 3) < rate[at])
+        keep = keep[np.argsort(at[keep], kind="stable")]
+        cells, first = np.unique(at[keep], return_index=True)
+        packed = [part.tobytes() for part in np.split(x[keep], first[1:])] if len(keep) else []
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(packed, pa.binary())], names=["upper", "rows"])
+
+
+def fit_cells(vectors: DataFrame, count: int, cell_rows: int = CELL_ROWS) -> Cells | None:
+    """Centroids from bounded samples of (id, v), chosen by a hash of the id; None without a usable vector."""
+    cells = int(min(MOST_CELLS, max(1, count // cell_rows)))
+    two = cells >= TWO_LEVELS
+    upper_cells = min(MOST_UPPER, int(cells**0.5)) if two else cells
+    most = min(TOP_SAMPLE, SAMPLE_PER_CELL * max(upper_cells, 64) * (2 if two else 1))
+    chosen = lambda share: F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+    sample = vectors.where(chosen(most / max(count, 1))).toArrow()
+    points = np.concatenate([unit_rows(b)[1] for b in sample.to_batches()] or [np.zeros((0, DIMENSIONS), np.float32)])
+    if not len(points):
+        points = np.concatenate([unit_rows(b)[1] for b in vectors.limit(1000).toArrow().to_batches()] or [points])
+    if not len(points):
+        return None
+    upper = centroids(points, upper_cells)
+    share = np.maximum(np.bincount(nearest_of(points, upper), minlength=len(upper)), 1) / len(points) * count
+    if not two:
+        return Cells(upper[:1] * 0, [upper], [share])
+    wanted = SAMPLE_PER_CELL * cells / count
+    rate = np.minimum(1.0, np.minimum(wanted, SUB_SAMPLE / share))
+
+    def fit(group: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(group.column("rows").to_pylist()), np.float32).reshape(-1, DIMENSIONS)
+        j = group.column("upper")[0].as_py()
+        c = centroids(x, max(1, round(len(x) / rate[j] * cells / count))).astype(np.float32)
+        rows = np.bincount(nearest_of(x, c), minlength=len(c)) / rate[j]
+        return pa.table({"upper": [j], "c": [c.tobytes()], "n": [rows.astype(np.float64).tobytes()]}, schema=pa.schema([("upper", pa.int64()), ("c", pa.binary()), ("n", pa.binary())]))
+
+    sampled = vectors.where(chosen(float(rate.max()) * 1.0001) if rate.max() < 1 else F.lit(True))
+    thin = rate / min(1.0, float(rate.max()) * 1.0001)
+    # At most MOST_CELLS centroids come back, 264 bytes each.
+    fitted = sampled.mapInArrow(partial(_sample_by_upper, upper=upper, rate=thin), "upper long, rows binary").groupBy("upper").applyInArrow(fit, "upper long, c binary, n binary").collect()
+    lower, rows = {r.upper: np.frombuffer(r.c, np.float32).reshape(-1, DIMENSIONS) for r in fitted}, {r.upper: np.frombuffer(r.n) for r in fitted}
+    every = range(len(upper))
+    return Cells(upper, [lower.get(j, upper[j : j + 1]) for j in every], [rows.get(j, share[j : j + 1]) for j in every])
 
 
 ROUTED = "key long, member boolean, rows binary"
@@ -145,53 +219,77 @@ def _spread(ids: np.ndarray, parts: np.ndarray, seed: int) -> np.ndarray:
     return ((x >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int32)
 
 
-def route_to_cells(batches: Iterator[pa.RecordBatch], c: np.ndarray, member_blocks: np.ndarray, query_blocks: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
-    """Each vector as a member of its nearest cell and as a query of its `probes` nearest."""
+def route_to_cells(batches: Iterator[pa.RecordBatch], cells: Cells, member_blocks: np.ndarray, query_blocks: np.ndarray, probes: int, query_step: int = 1) -> Iterator[pa.RecordBatch]:
+    """Each vector as a member of its nearest cell and, if its id is divisible by `query_step`, as a query of its `probes` nearest."""
     turn = rotation()
     for batch in batches:
         ids, x = unit_rows(batch)
         if not len(ids):
             continue
-        near = nearest_cells(x, c, probes)
         code, f = encode(x, turn)
         small, scale = eight_bits(x)
-        home = near[:, 0]
-        repeat = query_blocks[home]
-        at = np.repeat(np.arange(len(ids)), repeat)
-        qb = np.arange(len(at)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-        yield _routed(home[at], _spread(ids, member_blocks[home], 1)[at], qb, _records(MEMBER, id=ids, scale=scale, f=f, small=small, code=code)[at])
-        asked = _records(QUERY, id=ids, scale=scale, small=small)
-        cell = near.ravel()
-        of = np.repeat(np.arange(len(ids)), near.shape[1])
-        repeat = member_blocks[cell]
-        at = np.repeat(np.arange(len(cell)), repeat)
-        bb = np.arange(len(at)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-        yield _routed(cell[at], bb, _spread(ids[of], query_blocks[cell], 2)[at], asked[of[at]])
-
-
-def route_to_grid(batches: Iterator[pa.RecordBatch], row_blocks: int, query_blocks: int, query_step: int) -> Iterator[pa.RecordBatch]:
-    """Every row block against every query block; queries are the ids divisible by `query_step`."""
-    turn = rotation()
+        yield _to_homes(ids, x, cells, member_blocks, query_blocks, _records(MEMBER, id=ids, scale=scale, f=f, small=small, code=code))
+        asked = np.flatnonzero(ids % query_step == 0)
+        yield _to_probes(ids[asked], x[asked], cells, member_blocks, query_blocks, probes, _records(QUERY, id=ids[asked], scale=scale[asked], small=small[asked]))
+
+
+def _to_homes(ids: np.ndarray, x: np.ndarray, cells: Cells, member_blocks: np.ndarray, query_blocks: np.ndarray, records: np.ndarray, only: np.ndarray | None = None) -> pa.RecordBatch:
+    home = cells.nearest(x, 1)[:, 0]
+    repeat = query_blocks[home] if only is None else np.where(np.isin(home, only), query_blocks[home], 0)
+    at = np.repeat(np.arange(len(ids)), repeat)
+    qb = np.arange(len(at)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+    return _routed(home[at], _spread(ids, member_blocks[home], 1)[at], qb, records[at])
+
+
+def _to_probes(ids: np.ndarray, x: np.ndarray, cells: Cells, member_blocks: np.ndarray, query_blocks: np.ndarray, probes: int, records: np.ndarray) -> pa.RecordBatch:
+    near = cells.nearest(x, probes)
+    of, slot = np.nonzero(near >= 0)
+    cell = near[of, slot]
+    repeat = member_blocks[cell]
+    at = np.repeat(np.arange(len(cell)), repeat)
+    bb = np.arange(len(at)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+    return _routed(cell[at], bb, _spread(ids[of], query_blocks[cell], 2)[at], records[of[at]])
+
+
+WHOLE = np.dtype([("id", "<i8"), ("v", "<f4", DIMENSIONS)])
+
+
+def route_whole(batches: Iterator[pa.RecordBatch], cells: Cells, member_blocks: np.ndarray, query_blocks: np.ndarray, probes: int, members_of: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Stored numbers for the second question: members of the cells in `members_of`, or, if that is None, queries."""
     for batch in batches:
         ids, x = unit_rows(batch)
-        if not len(ids):
-            continue
-        code, f = encode(x, turn)
-        small, scale = eight_bits(x)
-        zero = np.zeros(len(ids), np.int64)
-        bb = _spread(ids, zero + row_blocks, 1)
-        members = _records(MEMBER, id=ids, scale=scale, f=f, small=small, code=code)
-        for q in range(query_blocks):
-            yield _routed(zero, bb, zero + q, members)
-        asked = np.flatnonzero(ids % query_step == 0)
-        qb = _spread(ids[asked], np.full(len(asked), query_blocks), 2)
-        queries = _records(QUERY, id=ids[asked], scale=scale[asked], small=small[asked])
-        for b in range(row_blocks):
-            yield _routed(zero[asked], zero[asked] + b, qb, queries)
+        if len(ids):
+            records = _records(WHOLE, id=ids, v=x)
+            out = _to_probes(ids, x, cells, member_blocks, query_blocks, probes, records) if members_of is None else _to_homes(ids, x, cells, member_blocks, query_blocks, records, members_of)
+            yield out.set_column(1, "member", pa.array(np.full(out.num_rows, members_of is not None)))
+
+
+def exact_in_block(block: pa.Table, top: int, least: float, query_batch: int = 64) -> pa.Table:
+    """(id, other, coarse) of each query's exact `top` nearest members, ties to the lower id."""
+    of = {True: [], False: []}
+    for member, packed in zip(block.column("member").to_pylist(), block.column("rows").to_pylist()):
+        of[member].append(packed)
+    rows, asked = np.frombuffer(b"".join(of[True]), WHOLE), np.frombuffer(b"".join(of[False]), WHOLE)
+    rows = rows[np.argsort(rows["id"], kind="stable")]
+    out: list[tuple[np.ndarray, ...]] = []
+    if len(rows) and len(asked):
+        ids, x, y = rows["id"], rows["v"].astype(np.float64), asked["v"].astype(np.float64)
+        x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
+        for lo in range(0, len(y), query_batch):
+            cosine = np.round(y[lo : lo + query_batch] @ x.T, 12)
+            cosine[asked["id"][lo : lo + query_batch][:, None] == ids[None, :]] = -2
+            k = min(top, len(ids))
+            kth = np.partition(cosine, len(ids) - k, axis=1)[:, len(ids) - k][:, None]
+            above, equal = cosine > kth, cosine == kth
+            keep = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+            q, m = np.nonzero(keep & (cosine >= max(least, -1.5)))
+            out.append((asked["id"][lo + q], ids[m], cosine[q, m]))
+    a, b, c = (np.concatenate(part) for part in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table({"id": a, "other": b, "coarse": c})
 
 
 def nearest_in_block(block: pa.Table, top: int, least: float, query_batch: int = 256) -> pa.Table:
-    """(id, other, coarse) of each query's `top` nearest members whose cosine may reach `least`."""
+    """(id, other, coarse) of each query's `top` nearest members whose cosine may reach `least`; other is null where they are more than DENSE."""
     of = {True: [], False: []}
     for member, packed in zip(block.column("member").to_pylist(), block.column("rows").to_pylist()):
         of[member].append(packed)
@@ -225,18 +323,49 @@ def nearest_in_block(block: pa.Table, top: int, least: float, query_batch: int =
             ends = np.append(start[1:], len(q))
             last = np.where(nth < ends[q], coarse[np.minimum(nth, len(q) - 1)] if len(q) else coarse, -2)
             stays = coarse >= last - 2 * COARSE
-            out_q.append(qids[lo + q[stays]])
-            out_m.append(ids[m[stays]])
-            out_s.append(coarse[stays])
-    join = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
-    return pa.table({"id": join(out_q, np.int64), "other": join(out_m, np.int64), "coarse": pa.array(join(out_s, np.float32), pa.float32())})
+            q, m, coarse = q[stays], m[stays], coarse[stays]
+            crowded = np.bincount(q, minlength=len(part)) > DENSE
+            single = ~crowded[q]
+            again = np.flatnonzero(crowded)
+            out_q += [qids[lo + q[single]], qids[lo + again]]
+            out_m += [ids[m[single]], np.full(len(again), NOBODY)]
+            out_s += [coarse[single], np.zeros(len(again))]
+    join = lambda parts, t: np.concatenate(parts).astype(t) if parts else np.zeros(0, t)
+    other = join(out_m, np.int64)
+    return pa.table({"id": join(out_q, np.int64), "other": pa.array(other, pa.int64(), mask=other == NOBODY), "coarse": join(out_s, np.float64)})
+
+
+MET = "id long, other long, coarse double"
 
 
-def _meet(routed: DataFrame, top: int, least: float) -> DataFrame:
+def _met(vectors: DataFrame, asked: DataFrame, cells: Cells, top: int, least: float, probes: int, query_step: int = 1) -> DataFrame:
+    """(id, other, coarse): what may be among the `top` of each query by the cells it asks; of crowded queries exactly.
+
+    asked: queries that are no members (surplus copies).
+    """
+    member_blocks = np.maximum(1, np.ceil(cells.rows / BLOCK_ROWS)).astype(np.int32)
+    query_blocks = np.maximum(1, np.ceil(cells.rows * probes / (query_step * 8 * QUERY_ROWS))).astype(np.int32)
+    at = dict(cells=cells, member_blocks=member_blocks, query_blocks=query_blocks, probes=probes)
+
     def block(rows: pa.Table) -> pa.Table:
         return nearest_in_block(rows, top, least)
 
-    return routed.groupBy("key").applyInArrow(block, "id long, other long, coarse float")
+    def whole(rows: pa.Table) -> pa.Table:
+        return exact_in_block(rows, top, least)
+
+    route = partial(route_to_cells, query_step=query_step, **at)
+    routed = vectors.mapInArrow(route, ROUTED).unionByName(asked.mapInArrow(route, ROUTED).where("not member"))
+    first = checkpoint(routed.groupBy("key").applyInArrow(block, MET))
+    crowded = checkpoint(first.where("other is null").select("id").distinct())
+    if crowded.isEmpty():
+        return first
+    queries = vectors.unionByName(asked).join(crowded, "id", "left_semi").mapInArrow(partial(route_whole, members_of=None, **at), ROUTED)
+    queries = checkpoint(queries)
+    # Numbers of cells, at most MOST_CELLS.
+    touched = np.array([r.cell for r in queries.select(F.shiftright("key", 36).alias("cell")).distinct().collect()], np.int64)
+    members = vectors.mapInArrow(partial(route_whole, members_of=touched, **at), ROUTED)
+    again = members.unionByName(queries).groupBy("key").applyInArrow(whole, MET)
+    return first.where("other is not null").join(crowded, "id", "left_anti").unionByName(again)
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,45 +410,35 @@ def without_surplus_copies(vectors: DataFrame, top: int) -> DataFrame:
 def linked_pairs(rows: DataFrame, *, least: float = LINK_COSINE, top: int = LINK_TOP, probes: int = PROBES, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(rowid_a, rowid_b, cosine): pairs of at least `least` that are in each other's `top`."""
     vectors = without_surplus_copies(usable(rows), top)
-    count = rows.count()
-    cells = int(min(MOST_CELLS, max(1, count // cell_rows)))
-    share_taken = min(1.0, SAMPLE_PER_CELL * max(cells, 64) / max(count, 1))
-    sample = usable(rows).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share_taken * (1 << 30))).toArrow()
-    parts = [unit_rows(b)[1] for b in sample.to_batches()] or [np.zeros((0, DIMENSIONS), np.float32)]
-    points = np.concatenate(parts)
-    if not len(points):
+    cells = fit_cells(usable(rows), rows.count(), cell_rows)
+    if cells is None:
         return rows.sparkSession.createDataFrame([], "rowid_a long, rowid_b long, cosine double")
-    c = centroids(points, min(cells, len(points)))
-    share = np.bincount(nearest_cells(points, c, 1)[:, 0], minlength=len(c)) / len(points) * count
-    member_blocks = np.maximum(1, np.ceil(share / BLOCK_ROWS)).astype(np.int32)
-    query_blocks = np.maximum(1, np.ceil(share * probes / (8 * QUERY_ROWS))).astype(np.int32)
-    routed = vectors.mapInArrow(partial(route_to_cells, c=c, member_blocks=member_blocks, query_blocks=query_blocks, probes=probes), ROUTED)
-    met = _meet(routed, top, least)
+    met = _met(vectors, vectors.limit(0), cells, top, least, probes)
     met = met.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
     exact = checkpoint(exact_cosines(checkpoint(met), usable(rows)).where(F.col("cosine") >= least))
     both = exact.select("id", "other", "cosine").unionByName(exact.select(F.col("other").alias("id"), F.col("id").alias("other"), "cosine"))
-    nearest = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
+    nearest = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 12)), "other")
     listed = both.withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= top)
     pairs = listed.groupBy(F.least("id", "other").alias("rowid_a"), F.greatest("id", "other").alias("rowid_b"))
     return pairs.agg(F.count("*").alias("sides"), F.max("cosine").alias("cosine")).where("sides = 2").drop("sides")
 
 
-def k_nearest(rows: DataFrame, k: int = 10, query_step: int = 20) -> DataFrame:
+def k_nearest(rows: DataFrame, k: int = 10, query_step: int = 20, probes: int = QUERY_PROBES, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(rowid, rank, neighbour, cosine) for every usable row whose id is divisible by `query_step`, against all rows."""
-    count = rows.count()
-    row_blocks, query_blocks = max(1, -(-count // BLOCK_ROWS)), max(1, -(-count // (query_step * QUERY_ROWS)))
     vectors = without_surplus_copies(usable(rows), k)
+    cells = fit_cells(usable(rows), rows.count(), cell_rows)
+    if cells is None:
+        return rows.sparkSession.createDataFrame([], "rowid long, rank int, neighbour long, cosine double")
     # A query that is a surplus copy is asked all the same.
     asked = usable(rows).where(F.col("id") % query_step == 0).join(vectors.select("id"), "id", "left_anti")
-    route = partial(route_to_grid, row_blocks=row_blocks, query_blocks=query_blocks, query_step=query_step)
-    routed = vectors.mapInArrow(route, ROUTED).unionByName(asked.mapInArrow(route, ROUTED).where("not member"))
-    met = _meet(routed, k, -1.0).distinct()
+    met = _met(vectors, asked, cells, k, -1.0, probes, query_step).groupBy("id", "other").agg(F.max("coarse").alias("coarse"))
+    # Of the k nearest of every cell only those that may be among the k nearest of all.
     first = Window.partitionBy("id").orderBy(F.desc("coarse"), "other")
     met = met.withColumn("at", F.row_number().over(first))
     met = met.withColumn("kth", F.max(F.when(F.col("at") == k, F.col("coarse"))).over(Window.partitionBy("id")))
     met = met.where(F.col("kth").isNull() | (F.col("coarse") >= F.col("kth") - 2 * COARSE)).select("id", "other")
     exact = exact_cosines(checkpoint(met), usable(rows))
-    nearest = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
+    nearest = Window.partitionBy("id").orderBy(F.desc(F.round("cosine", 12)), "other")
     return (
         exact.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
         .select(F.col("id").alias("rowid"), "rank", F.col("other").alias("neighbour"), F.round("cosine", 6).alias("cosine"))
