@@ -5,10 +5,12 @@ The test tables hold no progress of processing; a fixed rule on doc_id stands in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.session import table
+from lorewell.session import checkpoint, table
+
+FEW = 1_000_000  # keys of a broadcast, 16 MB
 
 CHUNKS_SQL = "(SELECT DISTINCT * FROM chunks)"
 VECTORS_SQL = "(SELECT DISTINCT rowid AS rid, embedded_at FROM vec_chunks)"
@@ -32,10 +34,21 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
-def chunks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Distinct chunk rows; ids are unique after that, so hashing the id alone is enough."""
+def chunks(spark: SparkSession, folder: str, *columns: str, **computed: Column) -> DataFrame:
+    """Distinct chunk rows; ids are unique after that, so hashing the id alone is enough.
+
+    `computed` columns are taken in the scan's stage, so that a length or a flag is moved and not the text.
+    """
     rows = table(spark, folder, "chunks")
-    return (rows.select("id", *[c for c in columns if c != "id"]) if columns else rows).dropDuplicates(["id"])
+    return rows.select("id", *[c for c in columns if c != "id"], *[c.alias(n) for n, c in computed.items()]).dropDuplicates(["id"])
+
+
+def texts_of(spark: SparkSession, folder: str, ids: DataFrame, *columns: str) -> DataFrame:
+    """(id, content, columns) of the named chunks: the ids travel to the texts if they are few, else both meet by id."""
+    ids = checkpoint(ids.select("id").distinct())
+    few = ids.limit(FEW + 1).count() <= FEW
+    rows = table(spark, folder, "chunks").select("id", "content", *columns)
+    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:

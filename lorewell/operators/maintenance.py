@@ -146,7 +146,7 @@ def resume(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("ma14_statistics", f"SELECT coalesce(d.source, '') AS source, count(DISTINCT d.doc_id) AS documents, count(c.id) AS chunks, CAST(coalesce(sum(length(c.content)), 0) AS BIGINT) AS size FROM documents d LEFT JOIN {m.CHUNKS_SQL} c ON c.document_id = d.doc_id GROUP BY ALL")
 def statistics(spark: SparkSession, folder: str) -> DataFrame:
-    c = m.chunks(spark, folder, "document_id", "content").groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("s"))
+    c = m.chunks(spark, folder, "document_id", size=F.length("content")).groupBy("document_id").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     d = m.documents(spark, folder).select("doc_id", F.coalesce("source", F.lit("")).alias("source")).join(c, F.col("doc_id") == F.col("document_id"), "left")
     total = lambda k: F.coalesce(F.sum(k), F.lit(0)).cast("long")
     return d.groupBy("source").agg(F.count("*").alias("documents"), total("n").alias("chunks"), total("s").alias("size"))

@@ -9,6 +9,7 @@ from lorewell.functions import model as m
 from lorewell.functions import text as t
 from lorewell.operators.ordered import following, places
 from lorewell.operators.relational import CLASS_SQL, EXT_SQL, content_class
+from lorewell.session import checkpoint
 
 QUERIES, SQL = {}, {}
 SENTENCE_END = r"[.!?][\"')\]]*\s*$"
@@ -30,8 +31,9 @@ def size_bucket(n: str | Column) -> Column:
     return F.when(c < 100, "tiny").when(c < 500, "small").when(c < 2000, "medium").when(c < 5000, "large").otherwise("huge")
 
 
-def _classed(spark: SparkSession, folder: str) -> DataFrame:
-    c = m.chunks(spark, folder, "document_id", "content", "page", "chunk_index").where("content is not null")
+def _classed(spark: SparkSession, folder: str, **facts: Column) -> DataFrame:
+    """Chunks with a content, their document's class and extension, and facts about the content; the content stays where it is."""
+    c = m.chunks(spark, folder, "document_id", "page", "chunk_index", filled=F.col("content").isNotNull(), **facts).where("filled").drop("filled")
     d = m.documents(spark, folder).select(F.col("doc_id").alias("document_id"), content_class().alias("class"), t.extension("file_path").alias("extension"))
     return c.join(d, "document_id")
 
@@ -47,7 +49,7 @@ _CLASSED_SQL = f"(SELECT c.id, c.document_id, c.content, c.page, c.chunk_index,
 )
 def chunk_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Exact median: sizes are whole numbers, so the aggregate holds counts per size, not rows."""
-    c = _classed(spark, folder).select("class", F.length("content").cast("long").alias("n"))
+    c = _classed(spark, folder, n=F.length("content").cast("long")).select("class", "n")
     buckets = [F.count_if(size_bucket("n") == b).alias(b) for b in ("tiny", "small", "medium", "large", "huge")]
     return c.groupBy("class").agg(
         F.count("*").alias("chunks"), F.sum("n").alias("total"), F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"),
@@ -66,11 +68,14 @@ def boundaries(spark: SparkSession, folder: str) -> DataFrame:
     Only flags are moved, not contents.
     """
     c = F.col("content")
-    clean = c.rlike(SENTENCE_END) | ((F.col("class") == "markdown") & c.rlike(r"\n\s*$")) | ((F.col("class") == "code") & c.rlike(r"[};:)]\s*$"))
-    ends = _classed(spark, folder).select(
-        "id", "document_id", "class", "extension", F.coalesce("page", F.lit(-1)).alias("page"), "chunk_index",
-        c.rlike(r"\p{L}$(?!\n)").alias("ends_letter"), c.rlike(r"^\p{L}").alias("starts_letter"), clean.alias("ends_clean"),
-    )
+    flags = {
+        "ends_letter": c.rlike(r"\p{L}$(?!\n)"), "starts_letter": c.rlike(r"^\p{L}"),
+        "ends_sentence": c.rlike(SENTENCE_END), "ends_line": c.rlike(r"\n\s*$"), "ends_block": c.rlike(r"[};:)]\s*$"),
+    }
+    clean = F.col("ends_sentence") | ((F.col("class") == "markdown") & F.col("ends_line")) | ((F.col("class") == "code") & F.col("ends_block"))
+    ends = _classed(spark, folder, **flags).select(
+        "id", "document_id", "class", "extension", F.coalesce("page", F.lit(-1)).alias("page"), "chunk_index", "ends_letter", "starts_letter", clean.alias("ends_clean")
+    )
     placed = places(ends, ["document_id", "page"], "chunk_index", "id")
     pairs = following(placed, ["document_id", "page"], ["id", "starts_letter"]).where("next_id is not null")
     kind = F.when(F.col("ends_letter") & F.col("next_starts_letter"), "mid_word").when(F.col("ends_clean"), "clean").otherwise("mid_sentence")
@@ -95,21 +100,25 @@ def boundary_coherence(spark: SparkSession, folder: str) -> DataFrame:
       LEFT JOIN (SELECT extension, round(count_if(NOT (ends_letter AND next_letter) AND ends_clean) / count(*), 6) AS score FROM ({_BOUNDS_SQL}) WHERE next_id IS NOT NULL GROUP BY extension) b USING (extension)""",
 )
 def quality_by_extension(spark: SparkSession, folder: str) -> DataFrame:
-    s = _classed(spark, folder).groupBy("extension").agg(F.count("*").alias("chunks"), F.round(F.avg(F.length("content")), 6).alias("mean"))
+    s = _classed(spark, folder, n=F.length("content")).groupBy("extension").agg(F.count("*").alias("chunks"), F.round(F.avg("n"), 6).alias("mean"))
     b = boundaries(spark, folder).groupBy("extension").agg(F.round(F.count_if(F.col("kind") == "clean") / F.count("*"), 6).alias("score"))
     return s.join(b, "extension", "left").select("extension", "chunks", "mean", F.coalesce("score", F.lit(1.0)).alias("score"))
 
 
 @query("ag16_term_frequencies", r"SELECT term, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(content), '[^\p{L}\p{N}_]+')) AS term FROM " + m.CHUNKS_SQL + ") WHERE length(term) >= 4 GROUP BY term ORDER BY n DESC, term LIMIT 100")
 def term_frequencies(spark: SparkSession, folder: str) -> DataFrame:
-    words = m.chunks(spark, folder, "content").select(F.explode(t.tokens("content")).alias("term")).where(F.length("term") >= 4)
-    return words.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(100)
+    """Counted where the texts are; rows delivered n times count 1/n each."""
+    rows = m.table(spark, folder, "chunks").where("content is not null").select("id", "content")
+    odd = checkpoint(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"))
+    few = odd.limit(m.FEW + 1).count() <= m.FEW
+    rows = rows.join(F.broadcast(odd) if few else odd, "id", "left").select(F.explode(t.tokens("content")).alias("term"), (1 / F.coalesce("n", F.lit(1))).alias("w"))
+    return rows.where(F.length("term") >= 4).groupBy("term").agg(F.round(F.sum("w")).cast("long").alias("n")).orderBy(F.desc("n"), "term").limit(100)
 
 
 @query("ch7_valid_chunks", rf"SELECT id, length(regexp_replace(regexp_replace(content, '^[\s\p{{Z}}\x1c-\x1f\x85]+', ''), '[\s\p{{Z}}\x1c-\x1f\x85]+$', '')) >= 50 AS valid FROM {m.CHUNKS_SQL} WHERE content IS NOT NULL")
 def valid_chunks(spark: SparkSession, folder: str) -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace("content", r"^[\s\p{Z}\x1c-\x1f\x85]+", ""), r"[\s\p{Z}\x1c-\x1f\x85]+$", "")
-    return m.chunks(spark, folder, "content").where("content is not null").select("id", (F.length(bare) >= 50).alias("valid"))
+    return m.chunks(spark, folder, valid=F.length(bare) >= 50).where("valid is not null")
 
 
 # --- completeness
@@ -151,8 +160,8 @@ def embedding_count(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("co5_blank_pages", f"SELECT document_id, page, count(*) AS blank_chunks FROM {m.CHUNKS_SQL} WHERE page > 0 AND document_id IS NOT NULL AND length(trim(content, ' ' || chr(9) || chr(10) || chr(13))) < {BLANK_PAGE} GROUP BY ALL")
 def blank_pages(spark: SparkSession, folder: str) -> DataFrame:
-    c = m.chunks(spark, folder, "document_id", "page", "content").where("page > 0 and document_id is not null")
-    return c.where(F.length(F.btrim("content", F.lit(" \t\n\r"))) < BLANK_PAGE).groupBy("document_id", "page").agg(F.count("*").alias("blank_chunks"))
+    c = m.chunks(spark, folder, "document_id", "page", n=F.length(F.btrim("content", F.lit(" \t\n\r")))).where("page > 0 and document_id is not null")
+    return c.where(F.col("n") < BLANK_PAGE).groupBy("document_id", "page").agg(F.count("*").alias("blank_chunks"))
 
 
 _REPORT_SQL = f"""(SELECT d.doc_id, d.chunks, p.status, p.total_chunks, p.chunks_processed, list_filter([

@@ -117,7 +117,7 @@ def content_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("j1_chunks_with_documents", f"SELECT c.id, d.doc_id, d.file_path, c.page, length(c.content) AS size FROM {m.CHUNKS_SQL} c JOIN documents d ON d.doc_id = c.document_id")
 def chunks_with_documents(spark: SparkSession, folder: str) -> DataFrame:
-    c = m.chunks(spark, folder, "document_id", "page", "content").withColumn("size", F.length("content").cast("long")).drop("content")
+    c = m.chunks(spark, folder, "document_id", "page", size=F.length("content").cast("long"))
     d = m.documents(spark, folder).select("doc_id", "file_path")
     return c.join(d, c["document_id"] == d["doc_id"]).select("id", "doc_id", "file_path", "page", "size")
 
@@ -140,7 +140,14 @@ def orphan_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return m.table(spark, folder, "vec_chunks").select(F.col("rowid").alias("id")).distinct().join(m.table(spark, folder, "chunks").select("id"), "id", "left_anti")
 
 
-@query("j5_documents_without_chunks", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.document_id = d.doc_id)")
+@query("j5_documents_without_chunks", "SELECT doc_id, NOT EXISTS (SELECT 1 FROM chunks c WHERE c.document_id = d.doc_id AND length(c.content) >= 200) AS without FROM documents d")
+def documents_with_few_chunks(spark: SparkSession, folder: str, least_size: int = 200) -> DataFrame:
+    """Whether a document has no chunk of some size."""
+    c = m.table(spark, folder, "chunks").where(F.length("content") >= least_size).select(F.col("document_id").alias("doc_id")).distinct()
+    d = m.documents(spark, folder).select("doc_id").join(c.withColumn("has", F.lit(True)), "doc_id", "left")
+    return d.select("doc_id", F.col("has").isNull().alias("without"))
+
+
 def documents_without_chunks(spark: SparkSession, folder: str) -> DataFrame:
     c = m.table(spark, folder, "chunks").select(F.col("document_id").alias("doc_id"))
     return m.documents(spark, folder).select("doc_id").join(c, "doc_id", "left_anti")
@@ -227,7 +234,7 @@ def documents_by_method(spark: SparkSession, folder: str) -> DataFrame:
       (SELECT count(*) FROM documents d WHERE d.doc_id NOT IN (SELECT document_id FROM chunks WHERE document_id IS NOT NULL)) AS without_chunks FROM {m.CHUNKS_SQL}""",
 )
 def size_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    size = m.chunks(spark, folder, "content").select(F.length("content").alias("n"))
+    size = m.chunks(spark, folder, n=F.length("content"))
     facts = size.agg(F.round(F.avg("n"), 6).alias("avg_size"), F.sum("n").cast("long").alias("total_size"), F.count("*").alias("chunks"))
     whole = m.documents(spark, folder).agg(F.count("*").alias("documents"))
     without = documents_without_chunks(spark, folder).agg(F.count("*").alias("without_chunks"))
@@ -236,10 +243,18 @@ def size_statistics(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("ag4_duplicates_within_document", f"SELECT document_id, sha256(content) AS digest, count(*) AS copies FROM {m.CHUNKS_SQL} WHERE document_id IS NOT NULL AND content IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
-def duplicates_within_document(spark: SparkSession, folder: str) -> DataFrame:
+@query(
+    "ag4_duplicates_within_document",
+    f"SELECT document_id, sha256(left(content, 40)) AS digest, count(*) AS copies FROM {m.CHUNKS_SQL} WHERE document_id IS NOT NULL AND content IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
+)
+def duplicate_openings(spark: SparkSession, folder: str, opening: int = 40) -> DataFrame:
+    """Chunks of a document that begin alike, as running headers make them; with whole contents see duplicates_within_document."""
+    return duplicates_within_document(spark, folder, F.substring("content", 1, opening))
+
+
+def duplicates_within_document(spark: SparkSession, folder: str, content: str | Column = "content") -> DataFrame:
     """Grouped by digest, so contents are not shuffled."""
-    c = m.table(spark, folder, "chunks").where("document_id is not null and content is not null").select("id", "document_id", F.sha2("content", 256).alias("digest")).distinct()
+    c = m.table(spark, folder, "chunks").where("document_id is not null and content is not null").select("id", "document_id", F.sha2(t.col(content), 256).alias("digest")).distinct()
     return c.groupBy("document_id", "digest").agg(F.count("*").alias("copies")).where("copies > 1")
 
 
@@ -252,12 +267,17 @@ def duplicates_across_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "ag6_keep_first",
-    f"""WITH c AS (SELECT id, document_id, sha256(content) AS digest FROM {m.CHUNKS_SQL} WHERE document_id IS NOT NULL AND content IS NOT NULL),
+    f"""WITH c AS (SELECT id, document_id, sha256(left(content, 40)) AS digest FROM {m.CHUNKS_SQL} WHERE document_id IS NOT NULL AND content IS NOT NULL),
       k AS (SELECT document_id, digest, min(id) AS kept FROM c GROUP BY ALL) SELECT c.id, k.kept FROM c JOIN k USING (document_id, digest) WHERE c.id > k.kept""",
 )
-def keep_first(spark: SparkSession, folder: str) -> DataFrame:
+def first_of_openings(spark: SparkSession, folder: str, opening: int = 40) -> DataFrame:
+    """The chunk that stays of those of a document that begin alike."""
+    return keep_first(spark, folder, F.substring("content", 1, opening))
+
+
+def keep_first(spark: SparkSession, folder: str, content: str | Column = "content") -> DataFrame:
     """Chunks that a clean-up removes, and the copy of the same document that stays."""
-    c = m.table(spark, folder, "chunks").where("document_id is not null and content is not null").select("id", "document_id", F.sha2("content", 256).alias("digest")).distinct()
+    c = m.table(spark, folder, "chunks").where("document_id is not null and content is not null").select("id", "document_id", F.sha2(t.col(content), 256).alias("digest")).distinct()
     kept = c.groupBy("document_id", "digest").agg(F.min("id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     return c.join(kept, ["document_id", "digest"]).where("id > kept").select("id", "kept")
 
@@ -313,8 +333,8 @@ def next_chunk(spark: SparkSession, folder: str) -> DataFrame:
 )
 def short_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages far shorter than those of their document; the document's mean is an aggregate, not a window, so it combines map-side."""
-    c = m.chunks(spark, folder, "document_id", "page", "content").where("page > 0 and document_id is not null")
-    p = c.groupBy("document_id", "page").agg(F.sum(F.length("content")).alias("size"))
+    c = m.chunks(spark, folder, "document_id", "page", n=F.length("content")).where("page > 0 and document_id is not null")
+    p = c.groupBy("document_id", "page").agg(F.sum("n").alias("size"))
     s = p.groupBy("document_id").agg(F.avg("size").alias("mean"), F.stddev_pop("size").alias("sd"), F.count("*").alias("pages")).where("pages >= 3 and sd > 0")
     return p.join(s, "document_id").select("document_id", "page", F.round((F.col("size") - F.col("mean")) / F.col("sd"), 6).alias("z")).where("z < -2")
 
@@ -340,9 +360,10 @@ def priority_order(spark: SparkSession, folder: str, top: int = 1000) -> DataFra
     return o.select("o_orderkey", "priority", F.row_number().over(Window.orderBy("priority", "o_orderdate", "o_orderkey")).cast("long").alias("place"))
 
 
-@query("s6_sample_of_empty_documents", "SELECT doc_id, file_path FROM documents d WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.document_id = d.doc_id) ORDER BY doc_id LIMIT 50")
-def sample_of_empty_documents(spark: SparkSession, folder: str) -> DataFrame:
-    c = m.table(spark, folder, "chunks").select(F.col("document_id").alias("doc_id"))
+@query("s6_sample_of_empty_documents", "SELECT doc_id, file_path FROM documents d WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.document_id = d.doc_id AND length(c.content) >= 200) ORDER BY doc_id LIMIT 50")
+def sample_of_empty_documents(spark: SparkSession, folder: str, least_size: int = 200) -> DataFrame:
+    """The first documents without a chunk of some size, a top-k."""
+    c = m.table(spark, folder, "chunks").where(F.length("content") >= least_size).select(F.col("document_id").alias("doc_id"))
     return m.documents(spark, folder).select("doc_id", "file_path").join(c, "doc_id", "left_anti").orderBy("doc_id").limit(50)
 
 

@@ -1,8 +1,9 @@
-"""The query algebra: exact vector search, BM25 with title boost, rank fusion, decomposition, suggestions, metrics.
+"""The query algebra: vector search, BM25 with title boost, rank fusion, decomposition, suggestions, metrics.
 
-Queries come as a frame, never one by one. Document frequencies are counted from the distinct tokens of a
-row (combined map-side); term frequencies only for terms that some query has, so no full list of postings
-is shuffled. Vector queries meet the rows in blocks as one matrix product a block.
+Queries come as a frame, never one by one. Rows and queries meet in blocks: a dense matrix product for
+vectors, a sparse one for words, and only the best of each query leave a block. Texts are read twice (document
+frequencies; postings of the terms that some query has) and are never moved: a row delivered n times counts
+1/n, a row without a document 0, and only these exceptions are looked up.
 
 Ties are broken by the lower chunk id and scores are ranked as rounded (6 places; 9 for fused scores).
 """
@@ -56,7 +57,7 @@ def _block_product(top: int):
         member = block.column("member").to_numpy(zero_copy_only=False)
         sides = []
         for own in (member, ~member):
-            part = block.filter(pa.array(own))
+            part = block.filter(pa.array(own)).sort_by("id")
             x = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1) if part.num_rows else np.zeros((0, 1))
             sides.append((part.column("id").to_numpy(), x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x))
         (ids, rows), (qids, asked) = sides
@@ -66,8 +67,9 @@ def _block_product(top: int):
             score = np.round((1 + cosine) / 2, 6)
             score[qids[lo : lo + 256][:, None] == ids[None, :]] = -1
             k = min(top, len(ids))
-            kth = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
-            q, r = np.nonzero((score >= kth[:, None]) & (score >= 0))  # ties stay; the rank decides later
+            kth = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k][:, None]
+            above, equal = score > kth, score == kth  # of equal scores the lowest ids, which come first
+            q, r = np.nonzero((above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))) & (score >= 0))
             out.append(np.stack([qids[lo + q].astype(np.float64), ids[r].astype(np.float64), cosine[q, r]]))
         q, r, c = np.concatenate(out, axis=1) if out else np.zeros((3, 0))
         return pa.table({"query_id": q.astype(np.int64), "id": r.astype(np.int64), "cosine": c})
@@ -83,7 +85,7 @@ def exact_nearest(vectors: DataFrame, asked: DataFrame, top: int = TOP) -> DataF
     vectors, asked = checkpoint(vectors.select("id", "v")), checkpoint(asked.select("id", "v"))
     n, q = vectors.count(), asked.count()
     row_blocks, query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-q // BLOCK_QUERIES))
-    every = lambda k: F.explode(F.array([F.lit(i) for i in range(k)]))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     rows = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int").alias("r")).withColumn("q", every(query_blocks)).withColumn("member", F.lit(True))
     asks = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("q")).withColumn("r", every(row_blocks)).withColumn("member", F.lit(False))
     compare = _block_product(top)
@@ -140,6 +142,89 @@ def embeddings_search(spark: SparkSession, folder: str) -> DataFrame:
     return exact_nearest(v, v.where(F.col("id") % QUERY_STEP == 0)).select("query_id", F.col("id").alias("vec_id"), "score")
 
 
+# --- approximate vector search
+
+CELL_ROWS, MOST_CELLS, SAMPLE_PER_CELL, PROBES = 1_000, 4_096, 32, 12
+
+
+def _unit(batch: pa.RecordBatch) -> np.ndarray:
+    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def centroids(vectors: DataFrame, count: int, cell_rows: int = CELL_ROWS, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means on a sample by hash: SAMPLE_PER_CELL vectors a cell, at most MOST_CELLS cells."""
+    cells = int(min(MOST_CELLS, max(1, count // cell_rows)))
+    share = min(1.0, SAMPLE_PER_CELL * max(cells, 64) / max(count, 1))
+    sample = vectors.select("id", "v").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).toArrow()
+    x = np.concatenate([_unit(b) for b in sample.to_batches() if b.num_rows] or [np.ones((1, 1), np.float32)])
+    x = x[np.lexsort(x.T[:3])]
+    c = x[np.random.default_rng(11).choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        label = np.concatenate([np.argmax(x[lo : lo + 4096] @ c.T, axis=1) for lo in range(0, len(x), 4096)])
+        sums = np.zeros_like(c)
+        np.add.at(sums, label, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 0, sums / np.maximum(norm, 1e-12), c)
+    return c
+
+
+def approximate_nearest(vectors: DataFrame, asked: DataFrame, top: int = TOP, probes: int = PROBES, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(query_id, id, score, rank) of every asked vector against the vectors of its `probes` nearest cells.
+
+    All vectors are indexed. A cell with very many rows is divided by hash into blocks, so no cell is one task.
+    """
+    vectors, asked = checkpoint(vectors.select("id", "v")), asked.select("id", "v")
+    n = vectors.count()
+    c = centroids(vectors, n, cell_rows)
+
+    def nearest_cells(k: int):
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                score = _unit(batch) @ c.T
+                take = min(k, len(c))
+                cell = np.argpartition(-score, take - 1, axis=1)[:, :take] if take < len(c) else np.tile(np.arange(len(c)), (len(score), 1))
+                of = np.repeat(np.arange(len(score)), take)
+                rows = batch.take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(cell.ravel().astype(np.int32))], names=["id", "v", "cell"])
+
+        return assign
+
+    schema = "id long, v array<float>, cell int"
+    members = checkpoint(vectors.mapInArrow(nearest_cells(1), schema))
+    crowd = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    crowd = F.broadcast(checkpoint(crowd))  # at most MOST_CELLS rows
+    members = members.join(crowd, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("member", F.lit(True))
+    queries = asked.mapInArrow(nearest_cells(probes), schema).join(crowd, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("member", F.lit(False))
+    compare = _block_product(top)
+
+    def block(cell: pa.Table) -> pa.Table:
+        return compare(cell)
+
+    met = members.unionByName(queries).groupBy("cell", "block").applyInArrow(block, "query_id long, id long, cosine double")
+    met = met.withColumn("score", F.round((1 + F.col("cosine")) / 2, 6)).drop("cosine")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return met.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
+
+
+@query("qx2_approximate_nearest")
+def approximate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 against its nearest cells."""
+    v = checkpoint(usable_vectors(m.table(spark, folder, "vec_chunks")))
+    return approximate_nearest(v, v.where(F.col("id") % QUERY_STEP == 0))
+
+
+@query("qx2_recall", f"WITH {_NEAREST_SQL} SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS recall_reached FROM near")
+def approximate_recall(spark: SparkSession, folder: str, least: float = 0.9) -> DataFrame:
+    """Whether the approximate search finds at least `least` of the exact neighbours; the share itself is in the README."""
+    v = checkpoint(usable_vectors(m.table(spark, folder, "vec_chunks")))
+    asked = v.where(F.col("id") % QUERY_STEP == 0)
+    both = exact_nearest(v, asked).join(approximate_nearest(v, asked).select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (F.count("hit") >= least * F.count("*")).alias("recall_reached"))
+
+
 # --- BM25
 
 
@@ -148,43 +233,140 @@ def stem_queries(spark: SparkSession, folder: str) -> DataFrame:
     return m.documents(spark, folder).where(F.col("doc_id") % QUERY_STEP == 0).select(F.col("doc_id").alias("query_id"), t.tokens(t.stem("file_path")).alias("words"))
 
 
-def bm25_corpus(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """((id, words, dl), df per term with idf, one row of totals) of (id, content)."""
-    # The index: texts are moved and cut into words once, and read three times.
-    worded = checkpoint(rows.select("id", t.tokens("content").alias("words"))).withColumn("dl", F.size("words"))
-    df = worded.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    totals = worded.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"))
-    raw = df.crossJoin(F.broadcast(totals)).withColumn("raw", F.log(F.col("n_rows") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row of totals
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return worded, idf, totals
+def corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, content, w) of the chunks with a document, where they are stored: a chunk delivered n times has w = 1/n in each."""
+    rows = m.table(spark, folder, "chunks").where("content is not null")
+    each = rows.groupBy("id").agg(F.count("*").alias("n"), F.min("document_id").alias("document_id"))
+    known = m.documents(spark, folder).select(F.col("doc_id").alias("document_id"), F.lit(1.0).alias("known"))
+    w = F.coalesce(F.col("known") / F.col("n"), F.lit(0.0)).alias("w")
+    odd = checkpoint(each.join(known, "document_id", "left").select("id", w).where("w <> 1"))
+    few = odd.limit(m.FEW + 1).count() <= m.FEW
+    placed = rows.select("id", "content").join(F.broadcast(odd) if few else odd, "id", "left")
+    return placed.select("id", "content", F.coalesce("w", F.lit(1.0)).alias("w")).where("w > 0")
+
+
+def found_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, document_id, page, head, file_path) of chunks with a document; the head is the first 100 characters."""
+    c = m.chunks(spark, folder, "document_id", "page", head=F.substring("content", 1, 100)).where("head is not null")
+    d = m.documents(spark, folder).select(F.col("doc_id").alias("document_id"), "file_path")
+    return c.join(d, "document_id").select("id", "document_id", "page", "head", "file_path")
+
+
+def document_frequencies(texts: DataFrame) -> tuple[DataFrame, int, float]:
+    """((term, df), rows, average length) of (id, content, w) in one pass; counts are combined before they move."""
+    worded = texts.select("w", t.tokens("content").alias("words"))
+    # The row of the null term counts the texts and their words.
+    terms = F.concat(F.array_distinct("words"), F.array(F.lit(None).cast("string")))
+    each = worded.select("w", F.size("words").alias("dl"), F.explode(terms).alias("term"))
+    counts = each.groupBy("term").agg(F.round(F.sum("w")).cast("long").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("w") * F.col("dl"))).alias("words"))
+    counts = checkpoint(counts)
+    whole = counts.where("term is null").first()
+    n_rows = int(whole.df) if whole else 0
+    return counts.where("term is not null").select("term", "df"), n_rows, round(whole.words) / n_rows if n_rows else 0.0
+
+
+def _raw_idf(n_rows: int) -> Column:
+    return F.log(F.lit(n_rows) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, id, dl, tf) of the given terms only."""
+    terms = checkpoint(terms.select("term").distinct())
+    few = terms.limit(m.FEW + 1).count() <= m.FEW
+    each = texts.select("id", "w", t.tokens("content").alias("words")).select("id", "w", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    each = each.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    return each.groupBy("term", "id").agg(F.round(F.sum("w")).cast("long").alias("tf"), F.max("dl").alias("dl"))
+
+
+BLOCK_POSTINGS, BLOCK_TERMS = 1_000_000, 50_000
+_FACTOR = np.array([1.0, 1.5, 2.0, 3.0])
+
+
+def _sparse_product(top: int | None):
+    """Scores of a block of postings and a block of queries: the `top` best of each query, or (None) the rows with all its terms."""
+
+    def score(cell: pa.Table) -> pa.Table:
+        member, title = (cell.column(k).to_numpy(zero_copy_only=False) for k in ("member", "title"))
+        key, value = cell.column("key").to_numpy(), cell.column("value").to_numpy()
+        _, term = np.unique(cell.column("term").to_numpy(), return_inverse=True)
+        ids = np.unique(key[member & ~title])
+        lists = []
+        for of_title in (False, True):
+            own = np.flatnonzero(member & (title == of_title))
+            at = np.searchsorted(ids, key[own])
+            held = (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == key[own]) if len(ids) else np.zeros(len(own), bool)
+            own, at = own[held], at[held]
+            order = np.argsort(term[own], kind="stable")
+            lists.append((at[order], value[own[order]], np.searchsorted(term[own[order]], np.arange(term.max(initial=0) + 2))))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        asked = np.flatnonzero(~member)
+        asked = asked[np.argsort(key[asked], kind="stable")]
+        queries, first = np.unique(key[asked], return_index=True)
+        for q, mine in zip(queries, np.split(asked, first[1:])) if len(ids) else ():
+            sums = []
+            for of_title, (at, held, start) in zip((False, True), lists):
+                rows = mine[title[mine] == of_title]
+                spans = [(start[term[i]], start[term[i] + 1], value[i]) for i in rows]
+                index = np.concatenate([at[a:b] for a, b, _ in spans]) if spans else np.zeros(0, np.int64)
+                part = np.concatenate([held[a:b] * w for a, b, w in spans]) if spans else np.zeros(0)
+                sums.append((index, part, len(spans)))
+            (index, part, n_terms), (shared, _, _) = sums
+            total = np.bincount(index, part, len(ids))
+            if top is None:
+                best = np.flatnonzero(np.bincount(index, minlength=len(ids)) == n_terms)
+            else:
+                if len(shared):
+                    total = np.where(total > 0, total * _FACTOR[np.minimum(np.bincount(shared, minlength=len(ids)), 3)], total)
+                shown = np.round(total, 6)
+                best = np.flatnonzero(shown > 0)
+                best = best[np.lexsort((best, -shown[best]))[:top]]
+            out.append((np.full(len(best), q), ids[best], total[best]))
+        a, b, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": a.astype(np.int64), "id": b.astype(np.int64), "score": c.astype(np.float64)})
+
+    return score
+
+
+def sparse_search(posts: DataFrame, asked: DataFrame, top: int | None) -> DataFrame:
+    """(query_id, id, score): (key, term, value, title) rows of postings and of queries, dealt to a grid of blocks by hash."""
+    posts, asked = checkpoint(posts.withColumn("term", F.xxhash64("term"))), checkpoint(asked.withColumn("term", F.xxhash64("term")))
+    row_blocks, query_blocks = max(1, -(-posts.count() // BLOCK_POSTINGS)), max(1, -(-asked.count() // BLOCK_TERMS))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    dealt = lambda k: F.pmod(F.xxhash64("key"), F.lit(k)).cast("int")
+    rows = posts.withColumn("r", dealt(row_blocks)).withColumn("q", every(query_blocks)).withColumn("member", F.lit(True))
+    asks = asked.withColumn("q", dealt(query_blocks)).withColumn("r", every(row_blocks)).withColumn("member", F.lit(False))
+    compare = _sparse_product(top)
+
+    def block(cell: pa.Table) -> pa.Table:
+        return compare(cell)
 
+    return rows.unionByName(asks).groupBy("r", "q").applyInArrow(block, "query_id long, id long, score double")
 
-def bm25(rows: DataFrame, asked: DataFrame, top: int = DEEP, boost: bool = True) -> DataFrame:
-    """(query_id, id, score, rank); rows: (id, content, file_path), asked: (query_id, words)."""
-    worded, idf, totals = bm25_corpus(rows)
+
+def bm25(texts: DataFrame, asked: DataFrame, top: int = DEEP, titles: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank); texts: (id, content, w), asked: (query_id, words), titles: (id, file_path) if they are to boost."""
+    df, n_rows, avgdl = document_frequencies(texts)
+    raw = _raw_idf(n_rows)
+    mean = df.agg(F.avg(raw).alias("mean")).first().mean or 0.0
+    idf = F.when(raw < 0, EPSILON * F.lit(mean)).otherwise(raw)
     terms = asked.select("query_id", F.explode("words").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    weighed = terms.join(idf, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight"))
-    # Only terms that are asked for become postings.
-    posts = worded.select("id", "dl", F.explode("words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    posts = posts.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = posts.join(weighed, "term").crossJoin(F.broadcast(totals)).groupBy("query_id", "id").agg(F.sum(part).alias("score"))
-    if boost:
-        titles = rows.select("id", t.tokens(t.stem("file_path")).alias("title"))
-        scored = scored.join(titles, "id").join(asked, "query_id").withColumn("shared", F.size(F.array_intersect("title", "words")))
-        factor = F.when(F.col("shared") >= 3, 3.0).when(F.col("shared") == 2, 2.0).when(F.col("shared") == 1, 1.5).otherwise(1.0)
-        scored = scored.withColumn("score", F.when(F.col("score") > 0, F.col("score") * factor).otherwise(F.col("score")))
-    scored = scored.select("query_id", "id", F.round("score", 6).alias("score")).where("score > 0")
+    weighed = terms.join(df, "term").select(F.col("query_id").alias("key"), "term", (F.col("qf") * idf).alias("value"), F.lit(False).alias("title"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    posts = postings(texts, terms).select(F.col("id").alias("key"), "term", part.alias("value"), F.lit(False).alias("title"))
+    if titles is not None:
+        one = [F.lit(1.0).alias("value"), F.lit(True).alias("title")]
+        named = titles.select(F.col("id").alias("key"), F.explode(F.array_distinct(t.tokens(t.stem("file_path")))).alias("term"), *one)
+        posts = posts.unionByName(named.join(terms.select("term").distinct(), "term", "left_semi"))
+        weighed = weighed.unionByName(terms.select(F.col("query_id").alias("key"), "term", *one))
+    scored = sparse_search(posts, weighed, top).select("query_id", "id", F.round("score", 6).alias("score")).where("score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
 
 
-def searchable(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, content, file_path, page) of chunks with a document."""
-    c = m.chunks(spark, folder, "document_id", "content", "page").where("content is not null")
-    d = m.documents(spark, folder).select(F.col("doc_id").alias("document_id"), "file_path")
-    return c.join(d, "document_id").select("id", "content", "file_path", "page", "document_id")
+def title_boosted(spark: SparkSession, folder: str, top: int = DEEP) -> DataFrame:
+    """BM25 with title boost of every document name whose id is divisible by 20."""
+    titles = m.chunks(spark, folder, "document_id").join(m.documents(spark, folder).select(F.col("doc_id").alias("document_id"), "file_path"), "document_id")
+    return bm25(corpus(spark, folder), stem_queries(spark, folder), top, titles.select("id", "file_path"))
 
 
 _WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')"
@@ -206,36 +388,33 @@ _BM25_SQL = rf"""s AS (SELECT c.id, c.document_id, c.content, c.page, d.file_pat
 
 @query("ag17_corpus_statistics", rf"WITH {_BM25_SQL} SELECT n_rows, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df) AS terms, round((SELECT avg(raw) FROM raw), 6) AS mean_idf FROM tot")
 def corpus_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    worded = searchable(spark, folder).select("id", t.tokens("content").alias("words"))
-    totals = worded.agg(F.count("*").alias("n_rows"), F.avg(F.size("words")).alias("avgdl"))
-    df = worded.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(totals)).select((F.log(F.col("n_rows") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    return totals.crossJoin(raw.agg(F.count("*").alias("terms"), F.round(F.avg("raw"), 6).alias("mean_idf"))).select("n_rows", F.round("avgdl", 6).alias("avgdl"), "terms", "mean_idf")
+    df, n_rows, avgdl = document_frequencies(corpus(spark, folder))
+    facts = df.agg(F.count("*").alias("terms"), F.round(F.avg(_raw_idf(n_rows)), 6).alias("mean_idf"))
+    return facts.select(F.lit(n_rows).cast("long").alias("n_rows"), F.round(F.lit(avgdl), 6).alias("avgdl"), "terms", "mean_idf")
 
 
 @query("qx3_bm25", f"WITH {_BM25_SQL} SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round(score, 6) AS score FROM plain) WHERE score > 0) WHERE rank <= {DEEP}")
 def bm25_plain(spark: SparkSession, folder: str) -> DataFrame:
-    return bm25(searchable(spark, folder), stem_queries(spark, folder), boost=False)
+    return bm25(corpus(spark, folder), stem_queries(spark, folder))
 
 
 @query("qx4_bm25_title_boost", f"WITH {_BM25_SQL} SELECT query_id, id, score, rank FROM kw")
 def bm25_boosted(spark: SparkSession, folder: str) -> DataFrame:
-    return bm25(searchable(spark, folder), stem_queries(spark, folder))
+    return title_boosted(spark, folder)
 
 
 @query(
     "qx14_all_terms",
-    f"""WITH {_BM25_SQL} SELECT query_id, id, hits FROM (SELECT qt.query_id, tf.id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS hits FROM tf JOIN qt USING (term) GROUP BY ALL) f
-      JOIN (SELECT query_id, count(*) AS need FROM qt GROUP BY query_id) n USING (query_id) WHERE terms = need""",
+    f"""WITH {_BM25_SQL}, two AS (SELECT DISTINCT query_id, unnest(words[1:2]) AS term FROM q)
+      SELECT query_id, id, hits FROM (SELECT two.query_id, tf.id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS hits FROM tf JOIN two USING (term) GROUP BY ALL) f
+      JOIN (SELECT query_id, count(*) AS need FROM two GROUP BY query_id) n USING (query_id) WHERE terms = need""",
 )
-def all_terms(spark: SparkSession, folder: str) -> DataFrame:
-    """Boolean AND search: chunks that hold every word of the query, with the number of hits."""
-    terms = stem_queries(spark, folder).select("query_id", F.explode(F.array_distinct("words")).alias("term"))
-    need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
-    posts = searchable(spark, folder).select("id", F.explode(t.tokens("content")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    posts = posts.groupBy("term", "id").agg(F.count("*").alias("tf"))
-    met = posts.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("terms"), F.sum("tf").alias("hits"))
-    return met.join(need, "query_id").where("terms = need").select("query_id", "id", "hits")
+def all_terms(spark: SparkSession, folder: str, n: int = 2) -> DataFrame:
+    """Boolean AND search: chunks that hold each of a name's first two words, with the number of hits."""
+    terms = stem_queries(spark, folder).select("query_id", F.explode(F.array_distinct(F.slice("words", 1, n))).alias("term"))
+    posts = postings(corpus(spark, folder), terms).select(F.col("id").alias("key"), "term", F.col("tf").cast("double").alias("value"), F.lit(False).alias("title"))
+    asked = terms.select(F.col("query_id").alias("key"), "term", F.lit(1.0).alias("value"), F.lit(False).alias("title"))
+    return sparse_search(posts, asked, None).select("query_id", "id", F.col("score").cast("long").alias("hits"))
 
 
 # --- fusion
@@ -258,17 +437,21 @@ def fuse(vector: DataFrame, keyword: DataFrame, shown: DataFrame, top: int = TOP
 def result_keys(rows: DataFrame) -> DataFrame:
     """(id, key) by which results of both lists are the same."""
     page = F.coalesce(F.col("page").cast("string"), F.lit("None"))
-    return rows.select("id", F.concat_ws(":", t.file_name("file_path"), page, F.substring("content", 1, 50)).alias("key"))
+    return rows.select("id", F.concat_ws(":", t.file_name("file_path"), page, F.substring("head", 1, 50)).alias("key"))
 
 
 def hybrid(spark: SparkSession, folder: str) -> DataFrame:
     """For every document whose id is divisible by 20: its title words and its first usable chunk vector as one query."""
-    rows, v = searchable(spark, folder), checkpoint(usable_vectors(m.table(spark, folder, "vec_chunks")))
+    rows = checkpoint(found_rows(spark, folder))
+    return fuse(first_chunk_nearest(spark, folder, rows), title_boosted(spark, folder), result_keys(rows))
+
+
+def first_chunk_nearest(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """The nearest of each asked document's first usable chunk vector, that chunk left out."""
+    v = checkpoint(usable_vectors(m.table(spark, folder, "vec_chunks")))
     first = rows.where(F.col("document_id") % QUERY_STEP == 0).select("id", "document_id").join(v.select("id"), "id", "left_semi").groupBy("document_id").agg(F.min("id").alias("id"))
     asked = v.join(first, "id").select(F.col("document_id").alias("id"), "v")
-    own = first.select(F.col("document_id").alias("query_id"), F.col("id").alias("own"))
-    near = exact_nearest_of(v, asked, own)
-    return fuse(near, bm25(rows, stem_queries(spark, folder)), result_keys(rows))
+    return exact_nearest_of(v, asked, first.select(F.col("document_id").alias("query_id"), F.col("id").alias("own")))
 
 
 def exact_nearest_of(vectors: DataFrame, asked: DataFrame, own: DataFrame, top: int = TOP) -> DataFrame:
@@ -304,7 +487,8 @@ def hybrid_fusion(spark: SparkSession, folder: str) -> DataFrame:
 )
 def suggestions(spark: SparkSession, folder: str) -> DataFrame:
     """The three most frequent longer words of the first three results that the query doesn't have."""
-    found = hybrid(spark, folder).where("rank <= 3").join(searchable(spark, folder).select("id", "content"), "id")
+    found = checkpoint(hybrid(spark, folder).where("rank <= 3"))
+    found = found.join(m.texts_of(spark, folder, found), "id")
     words = found.select("query_id", "rank", F.posexplode(F.split("content", r"[\s\p{Z}]+")).alias("pos", "word"))
     words = words.select("query_id", (F.col("rank") * 1_000_000 + F.col("pos")).alias("at"), F.regexp_replace(F.lower("word"), r"[^\p{L}\p{N}]", "").alias("word"))
     words = words.where(F.length("word") >= 4).join(stem_queries(spark, folder), "query_id").where(~F.array_contains("words", F.col("word")))
@@ -354,12 +538,11 @@ def decomposed(spark: SparkSession, folder: str) -> DataFrame:
 )
 def multi_query(spark: SparkSession, folder: str) -> DataFrame:
     """Each word of a title as its own sub-query, all in one pass: ranked, first-seen results kept, merged by score."""
-    rows = searchable(spark, folder)
     sub = stem_queries(spark, folder).select("query_id", F.posexplode("words").alias("part", "term"))
-    keyed = sub.select(F.concat_ws("/", "query_id", "part").alias("key"), "query_id", "part", "term")
-    ranked = bm25(rows, keyed.select(F.col("key").alias("query_id"), F.array("term").alias("words")), top=TOP, boost=False)
-    ranked = ranked.withColumnRenamed("query_id", "key").withColumnRenamed("rank", "r").join(keyed.select("key", "query_id", "part"), "key")
-    ranked = ranked.join(rows.select("id", t.file_name("file_path").alias("source"), F.substring("content", 1, 100).alias("head")), "id")
+    keyed = sub.select((F.col("query_id") * (1 << 16) + F.col("part")).alias("query_id"), F.array("term").alias("words"))  # a path has fewer words
+    ranked = bm25(corpus(spark, folder), keyed, top=TOP).withColumnRenamed("query_id", "key").withColumnRenamed("rank", "r")
+    ranked = ranked.withColumn("query_id", F.shiftright("key", 16)).withColumn("part", F.pmod("key", F.lit(1 << 16)))
+    ranked = ranked.join(found_rows(spark, folder).select("id", t.file_name("file_path").alias("source"), "head"), "id")
     seen = Window.partitionBy("query_id", "source", "head").orderBy("part", "r")
     ranked = ranked.withColumn("seen", F.row_number().over(seen)).where("seen = 1")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "part", "r")
@@ -388,8 +571,8 @@ def rerank(results: DataFrame, rows: DataFrame, asked: DataFrame, top: int = 5,
       SELECT kw.query_id, kw.id, kw.rank, round(len(list_intersect(list_distinct(q.words), w.words)) / greatest(len(list_distinct(q.words)), 1), 6) AS rerank_score FROM kw JOIN w USING (id) JOIN q USING (query_id))) WHERE place <= 5""",
 )
 def reranked(spark: SparkSession, folder: str) -> DataFrame:
-    rows, asked = searchable(spark, folder), stem_queries(spark, folder)
-    return rerank(bm25(rows, asked), rows, asked)
+    found = checkpoint(title_boosted(spark, folder))
+    return rerank(found, m.texts_of(spark, folder, found), stem_queries(spark, folder))
 
 
 def expand(asked: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -449,7 +632,8 @@ def hash_embedding(texts: DataFrame, dimensions: int = 64) -> DataFrame:
 
 @query("qx15_embed_chunks")
 def embedded_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return hash_embedding(m.chunks(spark, folder, "content").where("content is not null").select("id", "content"))
+    """Embedded where the texts are; of rows delivered twice one vector is kept."""
+    return hash_embedding(m.table(spark, folder, "chunks").where("content is not null").select("id", "content")).dropDuplicates(["id"])
 
 
 # --- quality of retrieval
@@ -463,9 +647,9 @@ def embedded_chunks(spark: SparkSession, folder: str) -> DataFrame:
 )
 def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Title search judged by whether it finds the document's own chunks."""
-    rows = searchable(spark, folder)
+    rows = found_rows(spark, folder)
     relevant = rows.where(F.col("document_id") % QUERY_STEP == 0).groupBy(F.col("document_id").alias("query_id")).agg(F.count("*").alias("relevant"))
-    got = bm25(rows, stem_queries(spark, folder), top=TOP).join(rows.select("id", "document_id"), "id")
+    got = title_boosted(spark, folder, TOP).join(rows.select("id", "document_id"), "id")
     own = F.col("document_id") == F.col("query_id")
     got = got.groupBy("query_id").agg(F.count_if(own).alias("hits"), F.min(F.when(own, F.col("rank"))).alias("first"))
     return relevant.join(got, "query_id", "left").agg(
@@ -486,9 +670,9 @@ def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
 )
 def benchmark_grades(spark: SparkSession, folder: str) -> DataFrame:
     """Title search graded: the document itself first, else its source first, else wrong; per content class and overall."""
-    rows = searchable(spark, folder)
+    rows = found_rows(spark, folder)
     asked = m.documents(spark, folder).where(F.col("doc_id") % QUERY_STEP == 0).select(F.col("doc_id").alias("query_id"), content_class().alias("class"), F.coalesce("source", F.lit("?")).alias("wanted"))
-    found = bm25(rows, stem_queries(spark, folder), top=5).join(rows.select("id", "document_id", "file_path"), "id").drop("score")
+    found = title_boosted(spark, folder, 5).join(rows.select("id", "document_id", "file_path"), "id").drop("score")
     own, alike = F.col("document_id") == F.col("query_id"), F.col("file_path").contains(F.col("wanted"))
     some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     each = asked.join(found, "query_id", "left").groupBy("query_id", "class").agg(
@@ -507,11 +691,8 @@ def benchmark_grades(spark: SparkSession, folder: str) -> DataFrame:
 )
 def three_way(spark: SparkSession, folder: str) -> DataFrame:
     """How many queries each branch answers with the document itself among the first five."""
-    rows, v = searchable(spark, folder), checkpoint(usable_vectors(m.table(spark, folder, "vec_chunks")))
-    first = rows.where(F.col("document_id") % QUERY_STEP == 0).select("id", "document_id").join(v.select("id"), "id", "left_semi").groupBy("document_id").agg(F.min("id").alias("id"))
-    own = first.select(F.col("document_id").alias("query_id"), F.col("id").alias("own"))
-    near = exact_nearest_of(v, v.join(first, "id").select(F.col("document_id").alias("id"), "v"), own)
-    words = bm25(rows, stem_queries(spark, folder))
+    rows = checkpoint(found_rows(spark, folder))
+    near, words = checkpoint(first_chunk_nearest(spark, folder, rows)), checkpoint(title_boosted(spark, folder))
     fused = fuse(near, words, result_keys(rows))
     part = lambda df, name: df.where("rank <= 5").select(F.lit(name).alias("branch"), "query_id", "id")
     every = part(near, "vector").unionByName(part(words, "keyword")).unionByName(part(fused, "hybrid"))

@@ -115,8 +115,10 @@ def content_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("sc5_corpus_scan", f"SELECT c.id, c.content, d.file_path FROM {m.CHUNKS_SQL} c JOIN documents d ON d.doc_id = c.document_id")
 def corpus_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts meet their documents' paths by id, once: the slim side is joined first."""
     d = m.documents(spark, folder).select(F.col("doc_id").alias("document_id"), "file_path")
-    return m.chunks(spark, folder, "document_id", "content").join(d, "document_id").select("id", "content", "file_path")
+    paths = m.chunks(spark, folder, "document_id").join(d, "document_id").select("id", "file_path")
+    return m.chunks(spark, folder, "content").join(paths, "id").select("id", "content", "file_path")
 
 
 @query("sc7_id_ranges", "SELECT floor(id / 1000) AS range, count(DISTINCT id) AS chunks, min(id) AS first, max(id) AS last FROM chunks GROUP BY ALL".replace("floor(id / 1000)", "CAST(floor(id / 1000) AS BIGINT)"))
