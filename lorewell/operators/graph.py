@@ -19,6 +19,7 @@ WIKILINK = r"\[\[([^\]\|]+)(?:\|([^\]]+))?\]\]"
 TAG = r"#([\w/\-]+)"
 HEADER = r"(?m)^(#{1,6})[ \t]+(\S.*)$"
 DAMPING, ROUNDS, HOPS = 0.85, 10, 2
+MOST_ROUNDS, TOLERANCE = 100, 1e-6
 QUERIES, SQL = {}, {}
 
 
@@ -124,8 +125,12 @@ def notes_by_tag(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.groupBy(F.col("target_id").alias("tag")).agg(F.count("source_id").alias("notes"), F.min("source_id").alias("first_note"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(node_id, rank) after a fixed number of rounds; parallel edges weigh together, dangling rank is spread evenly."""
+def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = MOST_ROUNDS, damping: float = DAMPING, tolerance: float | None = TOLERANCE) -> DataFrame:
+    """(node_id, rank); parallel edges weigh together, dangling rank is spread evenly.
+
+    Ends when the ranks change by less than `tolerance` a node in all; that they still do after `rounds` rounds
+    is an error. With the tolerance None exactly `rounds` rounds are made.
+    """
     weights = edges.groupBy("source_id", "target_id").agg(F.count("*").alias("w"))
     out = weights.groupBy("source_id").agg(F.sum("w").alias("all"))
     share = checkpoint(weights.join(out, "source_id").select("source_id", "target_id", (F.col("w") / F.col("all")).alias("share")))
@@ -133,12 +138,19 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = ROUNDS, damping:
     ranks = nodes.select("node_id", F.lit(1.0 / max(n, 1)).alias("rank"))
     has_out = checkpoint(nodes.join(out.select(F.col("source_id").alias("node_id"), F.lit(True).alias("linked")), "node_id", "left").select("node_id", F.coalesce("linked", F.lit(False)).alias("linked")))
     for _ in range(rounds):
+        earlier = ranks
         lost = ranks.join(has_out, "node_id").where(~F.col("linked")).agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         got = share.join(ranks.withColumnRenamed("node_id", "source_id"), "source_id").groupBy(F.col("target_id").alias("node_id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         ranks = checkpoint(
             nodes.join(got, "node_id", "left").crossJoin(F.broadcast(lost))  # one number
             .select("node_id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
         )
+        if tolerance is not None:
+            change = ranks.join(earlier.withColumnRenamed("rank", "was"), "node_id").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+            if (change or 0.0) < tolerance * n:
+                return ranks
+    if tolerance is not None and n:
+        raise RuntimeError(f"ranks still change after {rounds} rounds")
     return ranks
 
 
@@ -155,7 +167,8 @@ def ranked_nodes(spark: SparkSession, folder: str) -> DataFrame:
     v = checkpoint(m.table(spark, folder, "graph_nodes").select("node_id").distinct())
     e = m.edges(spark, folder).select("source_id", "target_id")
     e = e.join(v.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi").join(v.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi")
-    return pagerank(e, v).select("node_id", F.round("rank", 9).alias("rank"))
+    # A fixed number of rounds, which the SQL unrolls.
+    return pagerank(e, v, ROUNDS, tolerance=None).select("node_id", F.round("rank", 9).alias("rank"))
 
 
 @query("gr10_latest_nodes", f"SELECT node_id, node_type, title FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY created_at DESC NULLS LAST, coalesce(content, '')) AS r FROM {m.NODES_SQL}) WHERE r = 1")
@@ -200,22 +213,59 @@ def chunks_per_node(spark: SparkSession, folder: str) -> DataFrame:
     return m.links(spark, folder).groupBy("node_id", F.coalesce("link_type", F.lit("primary")).alias("link_type")).agg(F.count_distinct("chunk_id").alias("chunks"))
 
 
-@query(
-    "gr14_context_footer",
-    rf"""WITH n AS (SELECT doc_id, regexp_replace(regexp_extract(file_path, '[^/]*$'), '^(.+)\.[^.]*$', '\1') AS note,
-        list_distinct(regexp_extract_all(text, '#([\w/\-]+)', 1)) AS tags, list_transform(regexp_extract_all(text, '\[\[([^\]\|]+)(?:\|([^\]]+))?\]\]', 1), lambda x: trim(x)) AS links FROM {_NOTES_SQL})
-      SELECT doc_id, '---' || chr(10) || 'Note: ' || note
+FOOTER_SQL = rf"""WITH n AS (SELECT d.doc_id, coalesce(g.title, regexp_replace(regexp_extract(file_path, '[^/]*$'), '^(.+)\.[^.]*$', '\1')) AS title, regexp_replace(regexp_extract(file_path, '[^/]*$'), '^(.+)\.[^.]*$', '\1') AS note,
+        list_distinct(regexp_extract_all(text, '#([\w/\-]+)', 1)) AS tags, list_transform(regexp_extract_all(text, '\[\[([^\]\|]+)(?:\|([^\]]+))?\]\]', 1), lambda x: trim(x)) AS links
+        FROM {_NOTES_SQL} d LEFT JOIN (SELECT node_id, min(title) AS title FROM graph_nodes WHERE node_type = 'note' GROUP BY node_id) g ON g.node_id = 'note:' || d.file_path),
+      l AS (SELECT DISTINCT doc_id, title, ref FROM (SELECT doc_id, title, unnest(links) AS ref FROM n)),
+      b AS (SELECT n.doc_id, l.doc_id AS from_id, l.title AS near FROM l JOIN n ON n.title = l.ref WHERE n.doc_id <> l.doc_id),
+      c AS (SELECT doc_id, count(DISTINCT from_id) AS linked FROM b GROUP BY doc_id),
+      r AS (SELECT doc_id, list(near ORDER BY near) AS near FROM (SELECT doc_id, ref AS near FROM l WHERE ref <> title UNION SELECT b.doc_id, b.near FROM b JOIN n USING (doc_id) WHERE b.near <> n.title) GROUP BY doc_id)
+      SELECT n.doc_id, '---' || chr(10) || 'Note: ' || note
         || CASE WHEN len(tags) > 0 THEN chr(10) || 'Tags: ' || array_to_string(list_transform(list_sort(tags), lambda x: '#' || x), ', ') ELSE '' END
-        || CASE WHEN len(links) > 0 THEN chr(10) || 'Links: ' || array_to_string(links[1:5], ', ') || CASE WHEN len(links) > 5 THEN ' (+' || (len(links) - 5) || ' more)' ELSE '' END ELSE '' END AS footer FROM n""",
-)
-def context_footer(spark: SparkSession, folder: str) -> DataFrame:
-    """What is appended to each chunk of a note: its name, tags and the first five links."""
-    tags_, links_ = F.sort_array(F.array_distinct(F.regexp_extract_all("text", F.lit(TAG), 1))), F.transform(F.regexp_extract_all("text", F.lit(WIKILINK), 1), F.trim)
-    n = notes(spark, folder).select("doc_id", t.stem("file_path").alias("note"), tags_.alias("tags"), links_.alias("links"))
+        || CASE WHEN len(links) > 0 THEN chr(10) || 'Links to: ' || array_to_string(links[1:5], ', ') || CASE WHEN len(links) > 5 THEN ' (+' || (len(links) - 5) || ' more)' ELSE '' END ELSE '' END
+        || CASE WHEN linked > 0 THEN chr(10) || 'Linked from: ' || linked || ' notes' ELSE '' END
+        || CASE WHEN len(near) > 0 THEN chr(10) || 'Related notes: ' || array_to_string(near[1:3], ', ') || CASE WHEN len(near) > 3 THEN '...' ELSE '' END ELSE '' END AS footer
+      FROM n LEFT JOIN c ON c.doc_id = n.doc_id LEFT JOIN r ON r.doc_id = n.doc_id"""
+
+
+def footers(texts: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(doc_id, footer) of notes (doc_id, file_path, text): name, tags, first five links, how many notes link to it, first three related notes.
+
+    Notes are linked by their titles (nodes: (node_id, title); the file name where there is none). Related are
+    the linked titles and those of the notes that link to it, in alphabetical order. Links are counted and the
+    first four titles taken before anything is gathered, so a note that all others link to is no hot row.
+    """
+    n = texts.select(
+        "doc_id", "file_path", t.stem("file_path").alias("note"), F.sort_array(F.array_distinct(F.regexp_extract_all("text", F.lit(TAG), 1))).alias("tags"),
+        F.transform(F.regexp_extract_all("text", F.lit(WIKILINK), 1), F.trim).alias("links"),
+    )
+    if nodes is None:
+        n = n.withColumn("title", F.col("note"))
+    else:
+        named = nodes.groupBy("node_id").agg(F.min("title").alias("named"))
+        n = n.join(named, F.concat(F.lit("note:"), "file_path") == F.col("node_id"), "left").withColumn("title", F.coalesce("named", "note"))
+    n = checkpoint(n.select("doc_id", "note", "title", "tags", "links"))
+    links = n.select("doc_id", "title", F.explode("links").alias("ref")).distinct()
+    titles = n.select(F.col("doc_id").alias("to_id"), F.col("title").alias("ref"))
+    back = links.join(titles, "ref").where("doc_id <> to_id").select(F.col("to_id").alias("doc_id"), F.col("ref").alias("own"), F.col("doc_id").alias("from_id"), F.col("title").alias("near"))
+    linked = back.groupBy("doc_id").agg(F.count_distinct("from_id").alias("linked"))
+    near = links.where("ref <> title").select("doc_id", F.col("ref").alias("near")).unionByName(back.where("near <> own").select("doc_id", "near")).distinct()
+    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("near"))
+    near = near.withColumn("at", at).where("at <= 4").groupBy("doc_id").agg(F.sort_array(F.collect_list("near")).alias("near"))
+    n = n.join(linked, "doc_id", "left").join(near, "doc_id", "left")
     more = F.when(F.size("links") > 5, F.concat(F.lit(" (+"), (F.size("links") - 5).cast("string"), F.lit(" more)"))).otherwise("")
     tag_line = F.when(F.size("tags") > 0, F.concat(F.lit("\nTags: "), F.array_join(F.transform("tags", lambda x: F.concat(F.lit("#"), x)), ", "))).otherwise("")
-    link_line = F.when(F.size("links") > 0, F.concat(F.lit("\nLinks: "), F.array_join(F.slice("links", 1, 5), ", "), more)).otherwise("")
-    return n.select("doc_id", F.concat(F.lit("---\nNote: "), "note", tag_line, link_line).alias("footer"))
+    link_line = F.when(F.size("links") > 0, F.concat(F.lit("\nLinks to: "), F.array_join(F.slice("links", 1, 5), ", "), more)).otherwise("")
+    from_line = F.when(F.col("linked") > 0, F.concat(F.lit("\nLinked from: "), F.col("linked").cast("string"), F.lit(" notes"))).otherwise("")
+    near_line = F.when(F.size("near") > 0, F.concat(F.lit("\nRelated notes: "), F.array_join(F.slice("near", 1, 3), ", "), F.when(F.size("near") > 3, "...").otherwise(""))).otherwise("")
+    return n.select("doc_id", F.concat(F.lit("---\nNote: "), "note", tag_line, link_line, from_line, near_line).alias("footer"))
+
+
+@query("gr14_context_footer", FOOTER_SQL)
+def context_footer(spark: SparkSession, folder: str) -> DataFrame:
+    """What is appended to each chunk of a note."""
+    titles = m.table(spark, folder, "graph_nodes").where("node_type = 'note'").select("node_id", "title")
+    return footers(notes(spark, folder), titles)
 
 
 def export_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:

@@ -1,13 +1,15 @@
 """Integrity, clean-up, repair, incremental indexing and replacement of stored rows.
 
-Plain Parquet has no MERGE: a change is a new snapshot built by anti joins and unions, written beside the
-old one and then switched to. All functions take and give frames, so a dry run is the same plan, counted.
+Plain Parquet has no MERGE: a change is a new version built by anti joins and unions, written beside the
+old one; a pointer is then switched to it. All functions take and give frames, so a dry run is the same plan, counted.
 """
 
 from __future__ import annotations
 
 import os
 import shutil
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from lorewell.functions import model as m
 from lorewell.functions import text as t
 from lorewell.operators.ordered import places
+from lorewell.operators.retrieval import hash_embedding
 
 QUERIES, SQL = {}, {}
 
@@ -66,16 +69,23 @@ def health(spark: SparkSession, folder: str) -> DataFrame:
     "ma3_after_orphan_cleanup",
     """SELECT 'chunks' AS name, count(DISTINCT id) AS kept FROM chunks WHERE document_id IN (SELECT doc_id FROM documents)
       UNION ALL SELECT 'vec_chunks', count(DISTINCT rowid) FROM vec_chunks WHERE rowid IN (SELECT id FROM chunks WHERE document_id IN (SELECT doc_id FROM documents))
-      UNION ALL SELECT 'chunk_graph_links', count(DISTINCT id) FROM chunk_graph_links WHERE chunk_id IN (SELECT id FROM chunks WHERE document_id IN (SELECT doc_id FROM documents))""",
+      UNION ALL SELECT 'chunk_graph_links', count(DISTINCT id) FROM chunk_graph_links WHERE chunk_id IN (SELECT id FROM chunks WHERE document_id IN (SELECT doc_id FROM documents))
+      UNION ALL SELECT 'graph_nodes', count(DISTINCT node_id) FROM graph_nodes WHERE node_type IS NULL OR node_type NOT IN ('tag', 'note_ref') OR node_id IN (SELECT target_id FROM graph_edges WHERE target_id IS NOT NULL)
+      UNION ALL SELECT 'documents', count(DISTINCT doc_id) FROM documents WHERE file_path IN (SELECT file_path FROM """ + m.PROGRESS_SQL + ")",
 )
 def after_orphan_cleanup(spark: SparkSession, folder: str) -> DataFrame:
-    """What stays when orphans go, cascading to vectors and links."""
+    """What stays when orphans go, cascading to vectors and links; tags and placeholders need an edge, documents a listed file."""
     load = lambda n: m.table(spark, folder, n)
     kept = load("chunks").select("id", "document_id").distinct().join(load("documents").select(F.col("doc_id").alias("document_id")), "document_id", "left_semi").select("id")
     v = load("vec_chunks").select(F.col("rowid").alias("id")).distinct().join(kept, "id", "left_semi")
     n = load("chunk_graph_links").select(F.col("id").alias("link"), F.col("chunk_id").alias("id")).distinct().join(kept, "id", "left_semi")
     count = lambda df, name: df.agg(F.lit(name).alias("name"), F.count("*").alias("kept"))
-    return count(kept, "chunks").unionByName(count(v, "vec_chunks")).unionByName(count(n, "chunk_graph_links"))
+    nodes = m.nodes(spark, folder).select("node_id", F.coalesce(F.col("node_type").isin("tag", "note_ref"), F.lit(False)).alias("loose"))
+    held = load("graph_edges").where("target_id is not null").select(F.col("target_id").alias("node_id")).distinct()
+    nodes = nodes.where("not loose").unionByName(nodes.where("loose").join(held, "node_id", "left_semi"))
+    files = load("documents").select("doc_id", "file_path").join(m.progress(spark, folder).select("file_path"), "file_path", "left_semi")
+    parts = (("chunks", kept), ("vec_chunks", v), ("chunk_graph_links", n), ("graph_nodes", nodes), ("documents", files))
+    return reduce(DataFrame.unionByName, (count(df, name) for name, df in parts))
 
 
 @query("ma4_without_empty_documents", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT document_id FROM chunks)")
@@ -109,6 +119,25 @@ def path_reindex(spark: SparkSession, folder: str, prefix: str = "kb/vault-") ->
     return m.documents(spark, folder).where(F.col("file_path").startswith(prefix)).select("doc_id", "file_path")
 
 
+def rebuilt_vectors(chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], at: Column) -> DataFrame:
+    """(rowid, embedding, embedded_at): the whole table of vectors made anew of (id, content), of length 1; rows delivered twice give one."""
+    made = embed(chunks.where("content is not null").select("id", "content")).dropDuplicates(["id"])
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.when(norm > 0, F.transform("embedding", lambda x: (x / norm).cast("float"))).otherwise(F.col("embedding"))
+    return made.select(F.col("id").alias("rowid"), unit.alias("embedding"), at.alias("embedded_at"))
+
+
+@query("ma9_rebuilt_vectors", "SELECT count(DISTINCT id) AS vectors, 64 AS dimensions, true AS of_unit_length, count(DISTINCT id) AS indexed FROM chunks WHERE content IS NOT NULL")
+def rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors and word index rebuilt from the stored chunks, checked."""
+    rows = m.table(spark, folder, "chunks").select("id", "content")
+    v = rebuilt_vectors(rows, hash_embedding, F.current_timestamp())
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    facts = v.agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dimensions"), F.bool_and((norm == 0) | (F.abs(norm - 1) < 1e-5)).alias("of_unit_length"))
+    index = m.chunks(spark, folder, words=F.size(t.tokens("content"))).where("words >= 0").agg(F.count("*").alias("indexed"))
+    return facts.crossJoin(index)  # single rows
+
+
 @query("ma10_partial_rebuild", "WITH b AS (SELECT median(rowid) AS mid FROM (SELECT DISTINCT rowid FROM vec_chunks)) SELECT rowid AS id, rowid <= (SELECT mid FROM b) AS rebuilt FROM (SELECT DISTINCT rowid FROM vec_chunks)")
 def partial_rebuild(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors of a range of ids replaced, the others kept: the lower half here."""
@@ -213,18 +242,43 @@ def remapped_ids(spark: SparkSession, folder: str) -> DataFrame:
     return places(d, ["group"], "index", "doc_id").select("doc_id", "file_path", (F.col("place") + 1).alias("new_id"))
 
 
-def write_snapshot(df: DataFrame, path: str) -> None:
-    """Write a table beside its predecessor and switch: readers see the old or the new one, never a part."""
-    new, old = f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").parquet(new)
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+POINTER = "CURRENT"
+
+
+def write_snapshot(df: DataFrame, path: str, keep: int = 2) -> str:
+    """Write a new version of a table and switch to it; gives the version's name.
+
+    Versions are folders of their own and never change. The pointer names the current one; it is replaced by
+    one rename over itself, so a reader sees the old or the new version and never none. Older versions than
+    the last `keep` are deleted, which readers that began earlier still need until then.
+    """
+    fs, as_path, jvm = _file_system(df.sparkSession, path)
+    numbers = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(as_path(path)) if s.getPath().getName().startswith("v")) if fs.exists(as_path(path)) else []
+    name = f"v{numbers[-1] + 1 if numbers else 1:08d}"
+    df.write.mode("overwrite").parquet(f"{path}/{name}")
+    part = as_path(f"{path}/{POINTER}.{uuid.uuid4().hex}")
+    out = fs.create(part, True)
+    out.write(bytearray(name, "ascii"))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri() if part.toUri().getScheme() else as_path("file:///").toUri(), df.sparkSession._jsc.hadoopConfiguration())
+    options = df.sparkSession.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(part, as_path(f"{path}/{POINTER}"), options)
+    for old in numbers[: max(0, len(numbers) + 1 - keep)]:
+        fs.delete(as_path(f"{path}/v{old:08d}"), True)
+    return name
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table."""
+    name = "".join(r.value for r in spark.read.text(f"{path}/{POINTER}").collect())
+    return spark.read.parquet(f"{path}/{name}")
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark._jvm
     as_path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = as_path(path).getFileSystem(conf)
-    fs.delete(as_path(old), True)
-    if fs.exists(as_path(path)):
-        fs.rename(as_path(path), as_path(old))
-    fs.rename(as_path(new), as_path(path))
-    fs.delete(as_path(old), True)
+    return as_path(path).getFileSystem(spark._jsc.hadoopConfiguration()), as_path, jvm
 
 
 def write_report(df: DataFrame, path: str) -> None:

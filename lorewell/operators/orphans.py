@@ -19,10 +19,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorewell.session import table
+from lorewell.session import checkpoint, table
 
 KEY_BLOCK = 1 << 15
-SALTS = 8
+ROWS_A_SALT, FEW = 100_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,7 @@ def orphan_references(children: DataFrame, parents: DataFrame, deletions: DataFr
     ).where("k is not null")
     owners = parents.select(F.col(ref.parent_key).alias("k"), F.col(ref.parent_at).cast("timestamp").alias("parent_at"))
     owners = owners.where("k is not null").groupBy("k").agg(F.min("parent_at").alias("parent_at"))
-    keys = rows.groupBy("k").agg(F.min("at").alias("first_at"))
+    keys = rows.groupBy("k").agg(F.min("at").alias("first_at"), F.count("*").alias("n"))
     if dict(children.dtypes)[ref.key] in ("string",):
         matched = keys.join(owners.select("k", F.lit(True).alias("hit")), "k", "left").withColumn(
             "present", F.coalesce("hit", F.lit(False))
@@ -96,17 +96,21 @@ def orphan_references(children: DataFrame, parents: DataFrame, deletions: DataFr
     absent = (
         matched.where(~F.col("present"))
         .join(gone, F.col("k").cast("string") == F.col("log_key"), "left")
-        .select("k", F.when(F.col("log_key").isNull(), "missing").otherwise("deleted").alias("kind"), F.lit(None).cast("timestamp").alias("parent_at"))
+        .select("k", "n", F.when(F.col("log_key").isNull(), "missing").otherwise("deleted").alias("kind"), F.lit(None).cast("timestamp").alias("parent_at"))
     )
     late = (
         matched.where(F.col("present"))
         .join(owners, "k")
         .where(F.col("parent_at") > F.col("first_at"))
-        .select("k", F.lit("late").alias("kind"), "parent_at")
+        .select("k", "n", F.lit("late").alias("kind"), "parent_at")
     )
-    # A key may have most of the rows: its verdict is repeated per salt and its rows are spread over the salts.
-    verdicts = absent.unionByName(late).withColumn("salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
+    # A key may have most of the rows: its verdict is repeated per salt and its rows are spread over the salts,
+    # one for each ROWS_A_SALT rows. Only keys with more rows than that are looked up, at most one in so many rows.
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / ROWS_A_SALT)).cast("int")
+    crowded = checkpoint(keys.where(F.col("n") > ROWS_A_SALT).select("k", salts.alias("salts")))
+    few = crowded.limit(FEW + 1).count() <= FEW
+    verdicts = absent.unionByName(late).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    salted = rows.join(F.broadcast(crowded) if few else crowded, "k", "left").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.coalesce("salts", F.lit(1))).cast("int"))
     return (
         salted.join(verdicts, ["k", "salt"])
         .where((F.col("kind") != "late") | (F.col("parent_at") > F.col("at")))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lorewell.functions import model as m
 from lorewell.functions import text as t
 from lorewell.operators.relational import EXT_SQL
+from lorewell.session import checkpoint
 
 # File types by extension, harmless empty files, signatures (hexadecimal), limits.
 TYPES = {
@@ -154,7 +155,11 @@ def file_types(spark: SparkSession, folder: str) -> DataFrame:
     return m.documents(spark, folder).groupBy(F.coalesce(file_type(), F.lit("unknown")).alias("kind")).agg(F.count("*").alias("files"))
 
 
-@query("va3_text_share")
+_BYTES_SQL = "list_transform(range(0, least(octet_length(content), 512)), lambda i: substr(hx, CAST(2 * i + 1 AS INTEGER), 2))"
+_SHARE_SQL = f"round(len(list_filter({_BYTES_SQL}, lambda b: (b >= '20' AND b <= '7E') OR b IN ('09', '0A', '0D'))) / CAST(least(octet_length(content), 512) AS DOUBLE), 6)"
+
+
+@query("va3_text_share", f"SELECT doc_id, {_SHARE_SQL} AS share, {_SHARE_SQL} > 0.9e0 AS is_text FROM {_FACTS_SQL} WHERE octet_length(content) > 0")
 def text_share(spark: SparkSession, folder: str) -> DataFrame:
     """Files whose header is hardly printable ASCII."""
     share = file_facts(spark, folder).where(F.length("content") > 0).select("doc_id", F.round(printable_share(), 6).alias("share"))
@@ -169,9 +174,10 @@ _MISMATCH_SQL = f"""CASE WHEN kind IN ('pdf', 'docx', 'epub', 'markdown', 'text'
   WHEN kind IN ('pdf', 'docx', 'epub', 'markdown', 'text') AND {_ACTUAL_SQL} IS NOT NULL AND NOT ({_ACTUAL_SQL} = kind OR ({_ACTUAL_SQL} = 'zip' AND kind IN ('docx', 'epub'))) THEN 'Extension claims ' || kind || ' but file is ' || {_ACTUAL_SQL} END"""
 
 
-@query("va4_executables", f"SELECT doc_id, {_EXEC_SQL} AS found FROM {_FACTS_SQL} WHERE {_EXEC_SQL} IS NOT NULL")
+@query("va4_executables", f"SELECT doc_id, {_EXEC_SQL} AS found FROM {_FACTS_SQL}")
 def executables(spark: SparkSession, folder: str) -> DataFrame:
-    return file_facts(spark, folder).select("doc_id", executable_kind().alias("found")).where("found is not null")
+    """What kind of executable each file is by its first bytes; null if none."""
+    return file_facts(spark, folder).select("doc_id", executable_kind().alias("found"))
 
 
 @query("va5_magic", f"SELECT kind, {_MAGIC_SQL} AS matches, count(*) AS files FROM {_FACTS_SQL} WHERE {_MAGIC_SQL} IS NOT NULL GROUP BY ALL")
@@ -184,31 +190,74 @@ def sizes(spark: SparkSession, folder: str) -> DataFrame:
     return file_facts(spark, folder).groupBy(too_large(F.length("content")).alias("verdict")).agg(F.count("*").alias("files"), F.sum(F.length("content")).alias("bytes"))
 
 
-@query("va8_extension_mismatch", f"SELECT doc_id, {_MISMATCH_SQL} AS reason FROM {_FACTS_SQL} WHERE {_MISMATCH_SQL} IS NOT NULL")
+@query("va8_extension_mismatch", f"SELECT doc_id, kind, {_MISMATCH_SQL} AS reason FROM {_FACTS_SQL}")
 def mismatches(spark: SparkSession, folder: str) -> DataFrame:
-    return file_facts(spark, folder).select("doc_id", extension_mismatch("kind").alias("reason")).where("reason is not null")
+    """Why each file's header belies its extension; null if it doesn't."""
+    return file_facts(spark, folder).select("doc_id", "kind", extension_mismatch("kind").alias("reason"))
 
 
-@query("va9_scripts", f"SELECT doc_id, kind NOT IN ('python', 'javascript', 'typescript') AS quarantine FROM {_FACTS_SQL} WHERE starts_with(hx, '2321') AND kind IS NOT NULL")
+@query("va9_scripts", f"SELECT doc_id, starts_with(hx, '2321') AS script, starts_with(hx, '2321') AND kind NOT IN ('python', 'javascript', 'typescript') AS quarantine FROM {_FACTS_SQL} WHERE kind IS NOT NULL")
 def scripts(spark: SparkSession, folder: str) -> DataFrame:
-    """Files that begin with an interpreter line; those that are no scripts by extension belong in quarantine."""
-    found = file_facts(spark, folder).where(header_hex().startswith("2321") & F.col("kind").isNotNull())
-    return found.select("doc_id", (~F.col("kind").isin("python", "javascript", "typescript")).alias("quarantine"))
+    """Whether a file begins with an interpreter line; those that are no scripts by extension belong in quarantine."""
+    script = header_hex().startswith("2321")
+    return file_facts(spark, folder).where("kind is not null").select("doc_id", script.alias("script"), (script & ~F.col("kind").isin("python", "javascript", "typescript")).alias("quarantine"))
+
+
+def permission_verdict(kind: str | Column, mode: str | Column, content: str = "content") -> Column:
+    """What to do about a file's execute bits: quarantine (an interpreter line in no script), remedy (take the bits away) or ok."""
+    own, bits = t.col(kind), t.col(mode).bitwiseAND(F.lit(0o111))
+    script = own.isin("python", "javascript", "typescript")
+    return F.when(header_hex(content).startswith("2321") & ~script, "quarantine").when((bits > 0) & ~script, "remedy").otherwise("ok")
+
+
+def remedied_mode(mode: str | Column) -> Column:
+    """A file mode without its execute bits."""
+    return t.col(mode).bitwiseAND(F.lit(0o666))
+
+
+def is_archive(content: str = "content") -> Column:
+    """Whether the first bytes are those of a zip, gzip or tar file."""
+    head = header_hex(content)
+    return head.startswith("504B0304") | head.startswith("1F8B") | (F.substring(head, 515, 10) == "7573746172")
+
+
+@query(
+    "va7_archives",
+    f"SELECT doc_id, starts_with(hx, '504B0304') OR starts_with(hx, '1F8B') OR substr(hx, 515, 10) = '7573746172' AS archive, CAST(NULL AS VARCHAR) AS problem FROM {_FACTS_SQL}",
+)
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Which files are archives, and what is wrong with those; only archives reach Python."""
+    f = file_facts(spark, folder).select("doc_id", is_archive().alias("archive"), F.when(is_archive(), F.col("content")).alias("content"))
+    bad = archive_problems(f.where("archive").select(F.col("doc_id").cast("string").alias("path"), "content")).select(F.col("path").cast("long").alias("doc_id"), "problem")
+    return f.select("doc_id", "archive").join(bad, "doc_id", "left").select("doc_id", "archive", "problem")
+
+
+@query("va10_pdf_integrity", f"SELECT doc_id, CASE WHEN NOT starts_with(hx, '255044462D') THEN 'missing header' WHEN NOT contains(right(hx, 2048), '2525454F46') THEN 'missing end mark' END AS problem FROM {_FACTS_SQL} WHERE kind = 'pdf'")
+def pdf_integrity(spark: SparkSession, folder: str) -> DataFrame:
+    """What is wrong with each file that is called a PDF (also CO7); the stored texts are no PDFs, so their header is missing."""
+    return file_facts(spark, folder).where("kind = 'pdf'").select("doc_id", pdf_problem().alias("problem"))
 
 
 @query(
     "va_chain",
     f"""SELECT coalesce(CASE WHEN length(text) = 0 AND regexp_extract(file_path, '[^/]*$') NOT IN {EMPTY_ALLOWED} THEN 'FileExistenceStrategy' END, CASE WHEN {_SIZE_SQL} = 'reject' THEN 'FileSizeStrategy' END,
         CASE WHEN kind IS NULL THEN 'ExtensionStrategy' END, CASE WHEN {_MISMATCH_SQL} IS NOT NULL THEN 'ExtensionMismatchStrategy' END, CASE WHEN {_EXEC_SQL} IS NOT NULL THEN 'ExecutableCheckStrategy' END,
-        CASE WHEN NOT {_MAGIC_SQL} THEN 'MagicSignatureStrategy' END, 'valid') AS verdict, count(*) AS files FROM {_FACTS_SQL} GROUP BY ALL""",
+        CASE WHEN NOT {_MAGIC_SQL} THEN 'MagicSignatureStrategy' END, CASE WHEN kind = 'pdf' AND NOT contains(right(hx, 2048), '2525454F46') THEN 'PDFIntegrityStrategy' END,
+        CASE WHEN kind NOT IN {tuple(MAGIC)} AND octet_length(content) > 0 AND {_SHARE_SQL} <= 0.9e0 THEN 'TextFileStrategy' END, 'valid') AS verdict, count(*) AS files FROM {_FACTS_SQL} GROUP BY ALL""",
 )
 def chain(spark: SparkSession, folder: str) -> DataFrame:
     """The first failing check of each file, counted."""
     f = file_facts(spark, folder)
+    bad = archive_problems(f.where(is_archive()).select(F.col("doc_id").cast("string").alias("path"), "content")).where("problem is not null")
+    bad = checkpoint(bad.select(F.col("path").cast("long").alias("doc_id"), F.lit(True).alias("bomb")))
+    few = bad.limit(m.FEW + 1).count() <= m.FEW
+    f = f.join(F.broadcast(bad) if few else bad, "doc_id", "left")
+    text_like = ~F.col("kind").isin(*MAGIC) & (F.length("content") > 0) & (F.round(printable_share(), 6) <= 0.9)
     first = F.coalesce(
         F.when(empty_file("file_path", "content").isNotNull(), "FileExistenceStrategy"), F.when(too_large(F.length("content")) == "reject", "FileSizeStrategy"),
         F.when(F.col("kind").isNull(), "ExtensionStrategy"), F.when(extension_mismatch("kind").isNotNull(), "ExtensionMismatchStrategy"),
-        F.when(executable_kind().isNotNull(), "ExecutableCheckStrategy"), F.when(~magic_matches("kind"), "MagicSignatureStrategy"), F.lit("valid"),
+        F.when(executable_kind().isNotNull(), "ExecutableCheckStrategy"), F.when(F.col("bomb"), "ArchiveBombStrategy"), F.when(~magic_matches("kind"), "MagicSignatureStrategy"),
+        F.when((F.col("kind") == "pdf") & pdf_problem().isNotNull(), "PDFIntegrityStrategy"), F.when(text_like, "TextFileStrategy"), F.lit("valid"),
     )
     return f.groupBy(first.alias("verdict")).agg(F.count("*").alias("files"))
 
@@ -260,9 +309,27 @@ def _holds_sql(string: tuple) -> str:
 _RULES_SQL = {name: "(" + " OR ".join("(" + " AND ".join(map(_holds_sql, s)) + ")" for s in ways) + ")" for name, ways in RULES.items()}
 
 
-@query("se2_rule_matches", " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule FROM documents WHERE {c}" for n, c in _RULES_SQL.items()))
-def matched_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return m.documents(spark, folder).where("text is not null").withColumn("low", F.lower("text")).select("doc_id", F.explode(rule_matches("text", "low")).alias("rule"))
+_STRINGS = {name: list(dict.fromkeys(s for way in ways for s in way)) for name, ways in RULES.items()}
+
+
+@query(
+    "se2_rule_matches",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS rule, count_if({_RULES_SQL[name]}) AS matched, count_if({' OR '.join(map(_holds_sql, strings))}) AS some_string FROM documents WHERE text IS NOT NULL" for name, strings in _STRINGS.items()
+    ),
+)
+def counted_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """For each rule the documents that match it and those that hold one of its strings at least, in one pass."""
+    d = m.documents(spark, folder).where("text is not null").select("text", F.lower("text").alias("low"))
+    some = {name: reduce(lambda a, b: a | b, [_holds(F.col("text"), F.col("low"), s) for s in strings]) for name, strings in _STRINGS.items()}
+    flags = d.select(rule_matches("text", "low").alias("rules"), *[some[n].alias(n) for n in RULES])
+    each = flags.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.array_contains("rules", n).alias("m"), F.col(n).alias("s")) for n in RULES])).alias("r"))
+    return each.groupBy("r.rule").agg(F.count_if("r.m").alias("matched"), F.count_if("r.s").alias("some_string"))
+
+
+def matched_rules(documents: DataFrame) -> DataFrame:
+    """(doc_id, rule) of (doc_id, text)."""
+    return documents.where("text is not null").select("doc_id", F.explode(rule_matches("text", F.lower("text"))).alias("rule"))
 
 
 def false_positive_hint(path: str, rule: str) -> Column:
@@ -289,24 +356,53 @@ def classified(severity: Column, valid: Column, check: Column) -> Column:
     return F.when((severity == "CRITICAL") | (~valid & check.isin(*QUARANTINE_CHECKS)), "critical").when((severity == "WARNING") | ~valid, "warning").otherwise("clean")
 
 
-def scan(files: DataFrame, listed: DataFrame) -> DataFrame:
-    """(doc_id, file_hash, is_valid, severity, validation_check, rules) of (doc_id, file_hash, text): hash list first, then rules."""
-    f = files.withColumn("low", F.lower("text")).withColumn("rules", rule_matches("text", "low")).drop("text", "low")
-    f = f.join(listed, "file_hash", "left").withColumn("bad", F.coalesce("listed", F.lit(False)))
-    return f.select(
-        "doc_id", "file_hash", (~F.col("bad")).alias("is_valid"),
-        F.when(F.col("bad"), "CRITICAL").when(F.size("rules") > 0, "WARNING").otherwise("INFO").alias("severity"),
-        F.when(F.col("bad"), "HashBlacklistStrategy").when(F.size("rules") > 0, "YARAStrategy").otherwise("").alias("validation_check"), "rules",
+SCANNER = "1"
+
+
+def scan(files: DataFrame, listed: DataFrame, allowed: DataFrame | None = None, cache: DataFrame | None = None, version: str = SCANNER) -> DataFrame:
+    """(doc_id, file_hash, is_valid, severity, validation_check, source, rules) of (doc_id, file_hash, text).
+
+    A hash on the allowlist passes; one that this version of the scanner has seen keeps its result; only the
+    texts of the others are read, for the hash list and the rules. listed: (file_hash, listed); allowed:
+    (file_hash); cache: (file_hash, is_valid, severity, validation_check, scanner_version).
+    """
+    keys = files.select("doc_id", "file_hash")
+    none = F.array().cast("array<string>")
+    passed = keys.join((allowed if allowed is not None else keys.limit(0)).select("file_hash").distinct(), "file_hash", "left_semi")
+    rest = keys.join((allowed if allowed is not None else keys.limit(0)).select("file_hash"), "file_hash", "left_anti") if allowed is not None else keys
+    parts = [passed.select("doc_id", "file_hash", F.lit(True).alias("is_valid"), F.lit("INFO").alias("severity"), F.lit("").alias("validation_check"), F.lit("allowlist").alias("source"), none.alias("rules"))]
+    if cache is not None:
+        seen = cache.where(F.col("scanner_version") == version).select("file_hash", "is_valid", "severity", "validation_check")
+        parts.append(rest.join(seen, "file_hash").select("doc_id", "file_hash", "is_valid", "severity", "validation_check", F.lit("cache").alias("source"), none.alias("rules")))
+        rest = uncached(rest, cache, version)
+    todo = checkpoint(rest.join(listed, "file_hash", "left").select("doc_id", "file_hash", F.coalesce("listed", F.lit(False)).alias("bad")))
+    few = todo.limit(m.FEW + 1).count() <= m.FEW
+    texts = files.select("doc_id", "text").join(F.broadcast(todo.select("doc_id")) if few else todo.select("doc_id"), "doc_id", "left_semi")
+    # What leaves the stage of the texts are names of rules.
+    found = texts.select("doc_id", rule_matches("text", F.lower("text")).alias("rules"))
+    parts.append(
+        todo.join(found, "doc_id").select(
+            "doc_id", "file_hash", (~F.col("bad")).alias("is_valid"),
+            F.when(F.col("bad"), "CRITICAL").when(F.size("rules") > 0, "WARNING").otherwise("INFO").alias("severity"),
+            F.when(F.col("bad"), "HashBlacklistStrategy").when(F.size("rules") > 0, "YARAStrategy").otherwise("").alias("validation_check"), F.lit("scan").alias("source"), "rules",
+        )
     )
+    return reduce(DataFrame.unionByName, parts)
 
 
 _ANY_SQL = "(" + " OR ".join(_RULES_SQL.values()) + ")"
-_SCAN_SQL = f"""(SELECT doc_id, file_hash, NOT bad AS is_valid, CASE WHEN bad THEN 'CRITICAL' WHEN hit THEN 'WARNING' ELSE 'INFO' END AS severity, CASE WHEN bad THEN 'HashBlacklistStrategy' WHEN hit THEN 'YARAStrategy' ELSE '' END AS validation_check
-  FROM (SELECT doc_id, file_hash, file_hash IN {_LISTED_SQL} AS bad, {_ANY_SQL} AS hit FROM documents WHERE text IS NOT NULL))"""
+_ALLOWED_SQL = "(SELECT file_hash FROM documents WHERE source = 'manuals')"
+_CACHED_SQL = "(SELECT file_hash FROM documents WHERE doc_id % 9 = 1)"
+_SCAN_SQL = f"""(SELECT doc_id, file_hash, NOT (bad AND source = 'scan') AS is_valid, CASE WHEN source <> 'scan' THEN 'INFO' WHEN bad THEN 'CRITICAL' WHEN hit THEN 'WARNING' ELSE 'INFO' END AS severity,
+    CASE WHEN source <> 'scan' THEN '' WHEN bad THEN 'HashBlacklistStrategy' WHEN hit THEN 'YARAStrategy' ELSE '' END AS validation_check, source
+  FROM (SELECT doc_id, file_hash, file_hash IN {_LISTED_SQL} AS bad, {_ANY_SQL} AS hit, CASE WHEN file_hash IN {_ALLOWED_SQL} THEN 'allowlist' WHEN file_hash IN {_CACHED_SQL} THEN 'cache' ELSE 'scan' END AS source FROM documents WHERE text IS NOT NULL))"""
 
 
 def scanned(spark: SparkSession, folder: str) -> DataFrame:
-    return scan(m.documents(spark, folder).where("text is not null").select("doc_id", "file_hash", "text"), _listed(spark, folder))
+    """The stored texts scanned. Hashes of one source stand in for the allowlist, those of every ninth document for what was scanned before."""
+    d = m.documents(spark, folder)
+    cache = d.where("doc_id % 9 = 1").select("file_hash").distinct().select("file_hash", F.lit(True).alias("is_valid"), F.lit("INFO").alias("severity"), F.lit("").alias("validation_check"), F.lit(SCANNER).alias("scanner_version"))
+    return scan(d.where("text is not null").select("doc_id", "file_hash", "text"), _listed(spark, folder), d.where("source = 'manuals'").select("file_hash"), cache)
 
 
 @query("se5_scan", f"SELECT * FROM {_SCAN_SQL}")
@@ -350,7 +446,7 @@ def cache_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("se9_quarantine", f"SELECT doc_id, 'quarantine/' || file_hash AS kept_at, severity FROM {_SCAN_SQL} WHERE NOT is_valid AND validation_check IN {QUARANTINE_CHECKS}")
 def quarantine(spark: SparkSession, folder: str) -> DataFrame:
-    """What a scan moves to quarantine; restore and purge are the anti joins of this list."""
+    """What a scan moves to quarantine."""
     s = scanned(spark, folder).where(~F.col("is_valid") & F.col("validation_check").isin(*QUARANTINE_CHECKS))
     return s.select("doc_id", F.concat(F.lit("quarantine/"), "file_hash").alias("kept_at"), "severity")
 
@@ -358,3 +454,45 @@ def quarantine(spark: SparkSession, folder: str) -> DataFrame:
 @query("se10_actions", f"SELECT doc_id, CASE severity WHEN 'CRITICAL' THEN 'reject' WHEN 'WARNING' THEN 'warn' ELSE 'accept' END AS action FROM {_SCAN_SQL}")
 def actions(spark: SparkSession, folder: str) -> DataFrame:
     return scanned(spark, folder).select("doc_id", F.when(F.col("severity") == "CRITICAL", "reject").when(F.col("severity") == "WARNING", "warn").otherwise("accept").alias("action"))
+
+
+def quarantined(results: DataFrame, files: DataFrame, at: Column) -> DataFrame:
+    """The records of what goes to quarantine: where it was and is, when and why, and whether it was put back.
+
+    results: of a scan; files: (doc_id, file_path).
+    """
+    bad = results.where(~F.col("is_valid") & F.col("validation_check").isin(*QUARANTINE_CHECKS)).join(files.select("doc_id", "file_path"), "doc_id")
+    return bad.select(
+        F.col("file_path").alias("original_path"), F.concat(F.lit("quarantine/"), t.file_name("file_path"), F.lit(".REJECTED")).alias("kept_at"), at.alias("quarantined_at"),
+        F.col("severity").alias("reason"), "validation_check", "file_hash", F.lit(False).alias("restored"), F.lit(None).cast("timestamp").alias("restored_at"),
+    )
+
+
+def after_restore(records: DataFrame, paths: DataFrame, at: Column) -> DataFrame:
+    """The records after the files named in `paths` (original_path) were put back; what was put back before stays as it is."""
+    back = paths.select("original_path", F.lit(True).alias("_back")).distinct()
+    now = F.col("_back").isNotNull() & ~F.col("restored")
+    both = records.join(back, "original_path", "left")
+    return both.withColumn("restored_at", F.when(now, at).otherwise(F.col("restored_at"))).withColumn("restored", F.col("restored") | now).drop("_back")
+
+
+def after_purge(records: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """The records without files that lie in quarantine for more than `days` days; restored ones are kept as a trace."""
+    return records.where(F.col("restored") | (F.col("quarantined_at") >= as_of - F.make_dt_interval(F.lit(days))))
+
+
+@query(
+    "se9_after_purge",
+    f"""WITH q AS (SELECT d.doc_id, coalesce(d.indexed_at, TIMESTAMP '2020-01-01') AS seen FROM documents d WHERE d.file_hash IN {_LISTED_SQL}), newest AS (SELECT max(seen) AS seen FROM q)
+      SELECT count(*) AS records, count_if(doc_id % 2 = 1) AS restored, count_if(doc_id % 2 = 1 OR q.seen >= newest.seen - INTERVAL 30 DAY) AS after_purge FROM q, newest""",
+)
+def purged(spark: SparkSession, folder: str, days: int = 30) -> DataFrame:
+    """A quarantine of all listed files: how many records there are, are put back, and stay after what is older is purged."""
+    d = m.documents(spark, folder).select("doc_id", "file_path", "file_hash", F.coalesce(F.col("indexed_at").cast("timestamp"), F.lit("2020-01-01").cast("timestamp")).alias("at"))
+    found = d.join(_listed(spark, folder), "file_hash").select("doc_id", "file_path", "file_hash", "at", F.lit(False).alias("is_valid"), F.lit("CRITICAL").alias("severity"), F.lit("HashBlacklistStrategy").alias("validation_check"))
+    records = quarantined(found.drop("file_path"), found.select("doc_id", "file_path"), F.col("at"))
+    records = after_restore(records, found.where("doc_id % 2 = 1").select(F.col("file_path").alias("original_path")), F.current_timestamp())
+    newest = records.agg(F.max("quarantined_at").alias("newest"))
+    kept = after_purge(records.crossJoin(F.broadcast(newest)), F.col("newest"), days)  # one row
+    count = records.agg(F.count("*").alias("records"), F.count_if("restored").alias("restored"))
+    return count.crossJoin(kept.agg(F.count("*").alias("after_purge")))  # single rows

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = tuple(f"lorewell.operators.{m}" for m in ("orphans", "relational", "retrieval", "graph", "validation", "quality", "maintenance", "chunking")) + ("lorewell.streaming.ingest", "lorewell.sources.files")
+MODULES = tuple(f"lorewell.operators.{m}" for m in ("orphans", "relational", "retrieval", "graph", "validation", "quality", "maintenance", "chunking", "notes", "service")) + ("lorewell.streaming.ingest", "lorewell.sources.files")
 FLAGSHIP = "qx5_hybrid_fusion"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import model as m
 from lorewell.functions import text as t
+from lorewell.operators.ordered import places
 from lorewell.operators.relational import EXT_SQL
 
 # Supported extensions and what a scan leaves out.
@@ -128,6 +129,13 @@ def id_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return c.groupBy(F.floor(F.col("id") / 1000).alias("range")).agg(F.count_distinct("id").alias("chunks"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
+@query("sc6_pages", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 500 AS page FROM documents")
+def pages(spark: SparkSession, folder: str, size: int = 500) -> DataFrame:
+    """Each document's page of a scan in the order of ids; nested sums number them, no task sorts them all."""
+    d = m.documents(spark, folder).select("doc_id", F.lit(0).alias("all"), F.floor(F.col("doc_id") / 4096).alias("part"))
+    return places(d, ["all"], "part", "doc_id").select("doc_id", F.floor(F.col("place") / size).alias("page"))
+
+
 def id_range(rows: DataFrame, first: int | None = None, last: int | None = None, key: str = "id") -> DataFrame:
     """Rows of a range of ids; the bounds reach the Parquet scan as pushed filters."""
     rows = rows if first is None else rows.where(F.col(key) >= first)

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorewell.session import shared_folder, table
@@ -63,12 +64,23 @@ def streamed_sessions(spark: SparkSession, folder: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 50).parquet(f"{folder}/events.parque[t]")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/rows")  # the complete state, so a repeated batch does no harm
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")  # a batch that is run again overwrites its own rows
 
-    run = debounced(stream).writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    # Append: a session is written once, when the watermark has passed its end, and leaves the state.
+    run = debounced(stream).writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
-    return spark.read.parquet(f"{at}/rows").select("user_id", ntz("started"), ntz("ended"), "events")
+    return spark.read.parquet(f"{at}/rows").select("user_id", ntz("started"), ntz("ended"), "events").unionByName(_still_open(spark, folder, GAP))
+
+
+def _still_open(spark: SparkSession, folder: str, gap: str, watermark: str = "1 minute") -> DataFrame:
+    """Sessions that the watermark had not closed when the input ended, from the events near its end alone."""
+    e = table(spark, folder, "events").select("user_id", "ts")
+    last = e.agg(F.max("ts").alias("last"))
+    # The watermark stands `watermark` before the last event; a session is open if it ends after that.
+    open_ = debounced(e).crossJoin(F.broadcast(last)).where(F.col("ended") > F.col("last").cast("timestamp") - F.expr(f"INTERVAL {watermark}"))  # one row
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return open_.select("user_id", ntz("started"), ntz("ended"), "events")
 
 
 @query(
@@ -95,11 +107,13 @@ def progress_states(stream: DataFrame) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else ("", "", 0, 0)
         for batch in batches:
-            for row in batch.itertuples():
-                if row.hash != held[0]:
-                    held = (row.hash, row.status, int(row.done), int(row.total))
-                else:
-                    held = (row.hash, row.status, max(held[2], int(row.done)), max(held[3], int(row.total)))
+            if batch.empty:
+                continue
+            last = batch.iloc[-1]
+            changed = batch["hash"].ne(last["hash"])
+            same = batch[changed[::-1].cummax()[::-1].eq(False)]  # the rows since the hash last changed
+            before = held if len(same) == len(batch) and held[0] == last["hash"] else ("", "", 0, 0)
+            held = (last["hash"], last["status"], max(before[2], int(same["done"].max())), max(before[3], int(same["total"].max())))
         state.update(held)
         yield pd.DataFrame({"path": [key[0]], "hash": [held[0]], "status": [held[1]], "done": [held[2]], "total": [held[3]]})
 
@@ -120,3 +134,122 @@ def run_ingest(stream: DataFrame, process: Callable[[DataFrame], DataFrame], tar
         process(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+# --- the queue as a control table
+
+
+class Queue:
+    """Entries (path, priority, seq, state) as a frame: each step gives the table after it, which the caller writes.
+
+    A path that is queued or being worked on is not queued again, whatever its new priority; it may be once it
+    is complete. A paused queue gives nothing out. Equal priorities go in the order of arrival.
+    """
+
+    SCHEMA = "path string, priority int, seq long, state string"
+
+    def __init__(self, entries: DataFrame, paused: bool = False):
+        self.entries, self.paused = entries, paused
+
+    @staticmethod
+    def empty(spark: SparkSession) -> Queue:
+        return Queue(spark.createDataFrame([], Queue.SCHEMA))
+
+    def add(self, arrivals: DataFrame) -> Queue:
+        """arrivals: (path, priority, seq); of several for one path the first counts."""
+        first = arrivals.groupBy("path").agg(F.min_by("priority", "seq").alias("priority"), F.min("seq").alias("seq"))
+        new = first.join(self.entries.select("path"), "path", "left_anti").select("path", F.col("priority").cast("int").alias("priority"), "seq", F.lit("queued").alias("state"))
+        return Queue(self.entries.unionByName(new), self.paused)
+
+    def next(self, n: int) -> DataFrame:
+        """The n entries that are due."""
+        due = self.entries.where("state = 'queued'").orderBy("priority", "seq")
+        return due.limit(0 if self.paused else n)
+
+    def taken(self, batch: DataFrame) -> Queue:
+        """After a batch was given out: its paths stay known until they are complete."""
+        at = batch.select("path", F.lit(True).alias("_out"))
+        return Queue(self.entries.join(at, "path", "left").select("path", "priority", "seq", F.when(F.col("_out"), "working").otherwise(F.col("state")).alias("state")), self.paused)
+
+    def complete(self, paths: DataFrame) -> Queue:
+        return Queue(self.entries.join(paths.select("path"), "path", "left_anti").select("path", "priority", "seq", "state"), self.paused)
+
+    def pause(self) -> Queue:
+        return Queue(self.entries, True)
+
+    def resume(self) -> Queue:
+        return Queue(self.entries, False)
+
+    def clear(self) -> Queue:
+        return Queue(self.entries.limit(0), self.paused)
+
+    def sizes(self) -> DataFrame:
+        """(state, entries, most_urgent)."""
+        return self.entries.groupBy("state").agg(F.count("*").alias("entries"), F.min("priority").alias("most_urgent"))
+
+
+@query(
+    "st5_queue",
+    """WITH q AS (SELECT o_custkey AS path, min_by(CAST(left(o_orderpriority, 1) AS INTEGER), o_orderkey) AS priority, min(o_orderkey) AS seq FROM orders GROUP BY o_custkey),
+      r AS (SELECT *, row_number() OVER (ORDER BY priority, seq) AS at FROM q) SELECT CAST(path AS VARCHAR) AS path, priority, CASE WHEN at <= 200 THEN 'working' ELSE 'queued' END AS state FROM r WHERE at > 100""",
+)
+def worked_queue(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as arrivals, customers as paths: 200 entries are given out, the first 100 of them completed; what the queue holds then."""
+    arrivals = table(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias("path"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.col("o_orderkey").alias("seq"))
+    queue = Queue.empty(spark).add(arrivals)
+    batch = queue.next(200)
+    queue = queue.taken(batch).add(arrivals)
+    done = batch.orderBy("priority", "seq").limit(100)
+    return queue.complete(done).entries.select("path", "priority", "state")
+
+
+# --- progress of streams
+
+
+def counted_reasons(rows: DataFrame, name: str, reason: str, kinds: tuple[str, ...]) -> DataFrame:
+    """The rows themselves; how many there are of each reason is observed on the way, at no extra pass."""
+    return rows.observe(name, F.count("*").alias("rows"), *[F.count_if(F.col(reason) == k).alias(k) for k in kinds])
+
+
+class Progress(StreamingQueryListener):
+    """Keeps what running streams report: rows in all, rows a second, time left for an expected number, observed counts."""
+
+    def __init__(self, expected: int | None = None):
+        self.expected, self.rows, self.seconds, self.batches, self.counts, self.ended = expected, 0, 0.0, 0, {}, False
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.ended = False
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.batches += 1
+        self.rows += p.numInputRows
+        self.seconds += p.durationMs.get("triggerExecution", 0) / 1000
+        for name, row in p.observedMetrics.items():
+            held = self.counts.setdefault(name, {})
+            for k, v in row.asDict().items():
+                held[k] = held.get(k, 0) + (v or 0)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended = True
+
+    def rate(self) -> float:
+        return self.rows / self.seconds if self.seconds else 0.0
+
+    def seconds_left(self) -> float | None:
+        return None if self.expected is None or not self.rate() else max(0, self.expected - self.rows) / self.rate()
+
+
+def run_isolated(stream: DataFrame, process: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, problem: str = "problem") -> None:
+    """Like run_ingest, but an item that fails does not end its batch: `process` fills the column `problem`, and such rows are kept apart."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        done = process(batch).persist()
+        done.where(F.col(problem).isNull()).drop(problem).write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
+        done.where(F.col(problem).isNotNull()).write.mode("overwrite").parquet(f"{target}/problems/batch={number}")
+        done.unpersist()
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

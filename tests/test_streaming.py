@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from lorewell.streaming import ingest
@@ -49,3 +51,33 @@ def test_distinct_changes_plan(spark, tmp_path):
     spark.createDataFrame([(1,)], "k long").selectExpr("k", "timestamp'2024-01-01' as ts").write.parquet(str(tmp_path / "d"))
     stream = ingest.file_stream(spark, str(tmp_path / "d"), "k long, ts timestamp")
     assert ingest.distinct_changes(stream, ["k"]).isStreaming
+
+
+def test_queue(spark):
+    arrivals = spark.createDataFrame([("a", 2, 1), ("b", 1, 2), ("a", 0, 3), ("c", 2, 4)], "path string, priority int, seq long")
+    q = ingest.Queue.empty(spark).add(arrivals)
+    assert [(r.path, r.priority) for r in q.next(9).collect()] == [("b", 1), ("a", 2), ("c", 2)]
+    assert q.pause().next(9).count() == 0 and q.pause().resume().next(1).first().path == "b"
+    q = q.taken(q.next(2))
+    again = q.add(spark.createDataFrame([("a", 0, 9), ("d", 0, 10)], "path string, priority int, seq long"))
+    assert [r.path for r in again.next(9).collect()] == ["d", "c"]
+    assert {r.state: r.entries for r in again.sizes().collect()} == {"queued": 2, "working": 2}
+    done = again.complete(spark.createDataFrame([("a",)], "path string"))
+    assert [r.path for r in done.add(arrivals).next(9).collect()] == ["d", "a", "c"]
+    assert done.clear().entries.count() == 0
+
+
+def test_progress_and_isolated_items(spark, tmp_path):
+    spark.createDataFrame([(i, "bad" if i % 5 == 0 else "good") for i in range(50)], "id long, kind string").write.parquet(str(tmp_path / "in"))
+    watch = ingest.Progress(expected=100)
+    spark.streams.addListener(watch)
+    stream = ingest.counted_reasons(ingest.file_stream(spark, str(tmp_path / "in"), "id long, kind string"), "reasons", "kind", ("bad", "good"))
+    process = lambda b: b.withColumn("problem", F.when(F.col("kind") == "bad", "broken"))
+    ingest.run_isolated(stream, process, str(tmp_path / "out"), str(tmp_path / "state"))
+    for _ in range(100):
+        if watch.ended:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(watch)
+    assert spark.read.parquet(str(tmp_path / "out/rows")).count() == 40 and spark.read.parquet(str(tmp_path / "out/problems")).count() == 10
+    assert watch.rows == 50 and watch.counts["reasons"] == {"rows": 50, "bad": 10, "good": 40} and watch.rate() > 0 and watch.seconds_left() > 0
