@@ -245,9 +245,9 @@ def size_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "ag4_duplicates_within_document",
-    f"SELECT document_id, sha256(left(content, 40)) AS digest, count(*) AS copies FROM {m.CHUNKS_SQL} WHERE document_id IS NOT NULL AND content IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
+    f"SELECT document_id, sha256(left(content, 30)) AS digest, count(*) AS copies FROM {m.CHUNKS_SQL} WHERE document_id IS NOT NULL AND content IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
 )
-def duplicate_openings(spark: SparkSession, folder: str, opening: int = 40) -> DataFrame:
+def duplicate_openings(spark: SparkSession, folder: str, opening: int = 30) -> DataFrame:
     """Chunks of a document that begin alike, as running headers make them; with whole contents see duplicates_within_document."""
     return duplicates_within_document(spark, folder, F.substring("content", 1, opening))
 
@@ -267,10 +267,10 @@ def duplicates_across_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "ag6_keep_first",
-    f"""WITH c AS (SELECT id, document_id, sha256(left(content, 40)) AS digest FROM {m.CHUNKS_SQL} WHERE document_id IS NOT NULL AND content IS NOT NULL),
+    f"""WITH c AS (SELECT id, document_id, sha256(left(content, 30)) AS digest FROM {m.CHUNKS_SQL} WHERE document_id IS NOT NULL AND content IS NOT NULL),
       k AS (SELECT document_id, digest, min(id) AS kept FROM c GROUP BY ALL) SELECT c.id, k.kept FROM c JOIN k USING (document_id, digest) WHERE c.id > k.kept""",
 )
-def first_of_openings(spark: SparkSession, folder: str, opening: int = 40) -> DataFrame:
+def first_of_openings(spark: SparkSession, folder: str, opening: int = 30) -> DataFrame:
     """The chunk that stays of those of a document that begin alike."""
     return keep_first(spark, folder, F.substring("content", 1, opening))
 

@@ -191,7 +191,7 @@ class Queue:
 @query(
     "st5_queue",
     """WITH q AS (SELECT o_custkey AS path, min_by(CAST(left(o_orderpriority, 1) AS INTEGER), o_orderkey) AS priority, min(o_orderkey) AS seq FROM orders GROUP BY o_custkey),
-      r AS (SELECT *, row_number() OVER (ORDER BY priority, seq) AS at FROM q) SELECT CAST(path AS VARCHAR) AS path, priority, CASE WHEN at <= 200 THEN 'working' ELSE 'queued' END AS state FROM r WHERE at > 100""",
+      r AS (SELECT *, row_number() OVER (ORDER BY priority, seq) AS spot FROM q) SELECT CAST(path AS VARCHAR) AS path, priority, CASE WHEN spot <= 200 THEN 'working' ELSE 'queued' END AS state FROM r WHERE spot > 100""",
 )
 def worked_queue(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as arrivals, customers as paths: 200 entries are given out, the first 100 of them completed; what the queue holds then."""
