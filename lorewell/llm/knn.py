@@ -3,7 +3,7 @@
 A usable vector is scaled to length 1, rotated into BITS dimensions by a fixed random rotation and kept
 as one sign bit a dimension plus one correction scalar f, the inner product of the rotated vector with
 its own sign vector. The inner product with a query q is estimated as <signs, rotated q> / (sqrt(BITS) f)
-and lies within BOUND * sqrt((1 - f*f) / (f*f * (BITS - 1))) of the truth with high probability. Only
+and lies within BOUND (QUERY_BOUND without a threshold) * sqrt((1 - f*f) / (f*f * (BITS - 1))) of the truth with high probability. Only
 vectors whose upper bound reaches what is asked for are reranked, first on 8-bit components that travel
 with the codes, then exactly on the stored vectors.
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lorewell.session import checkpoint, table
 
-DIMENSIONS, BITS, BOUND = 64, 256, 4.0
+DIMENSIONS, BITS, BOUND, QUERY_BOUND = 64, 256, 4.0, 5.0
 CELL_ROWS, MOST_CELLS, SAMPLE_PER_CELL, PROBES, QUERY_PROBES = 400, 1 << 18, 32, 5, 24
 TWO_LEVELS, MOST_UPPER, UPPER_PROBES, TOP_SAMPLE, SUB_SAMPLE = 256, 1024, 8, 1 << 16, 1 << 17
 BLOCK_ROWS, QUERY_ROWS, DENSE = 32_768, 8_192, 64
@@ -288,7 +288,7 @@ def exact_in_block(block: pa.Table, top: int, least: float, query_batch: int = 6
     return pa.table({"id": a, "other": b, "coarse": c})
 
 
-def nearest_in_block(block: pa.Table, top: int, least: float, query_batch: int = 256) -> pa.Table:
+def nearest_in_block(block: pa.Table, top: int, least: float, query_batch: int = 256, bound: float = BOUND) -> pa.Table:
     """(id, other, coarse) of each query's `top` nearest members whose cosine may reach `least`; other is null where they are more than DENSE."""
     of = {True: [], False: []}
     for member, packed in zip(block.column("member").to_pylist(), block.column("rows").to_pylist()):
@@ -300,7 +300,7 @@ def nearest_in_block(block: pa.Table, top: int, least: float, query_batch: int =
         ids, qids, f = rows["id"], asked["id"], rows["f"]
         signs = np.unpackbits(rows["code"], axis=1).astype(np.float32) * 2 - 1
         signs /= (f * np.float32(np.sqrt(BITS)))[:, None]
-        error = (BOUND * np.sqrt(np.maximum(1 - f**2, 0) / (f**2 * (BITS - 1)))).astype(np.float32)
+        error = (bound * np.sqrt(np.maximum(1 - f**2, 0) / (f**2 * (BITS - 1)))).astype(np.float32)
         x = rows["small"].astype(np.float32) * rows["scale"][:, None]
         y = asked["small"].astype(np.float32) * asked["scale"][:, None]
         for lo in range(0, len(qids), query_batch):
@@ -338,7 +338,7 @@ def nearest_in_block(block: pa.Table, top: int, least: float, query_batch: int =
 MET = "id long, other long, coarse double"
 
 
-def _met(vectors: DataFrame, asked: DataFrame, cells: Cells, top: int, least: float, probes: int, query_step: int = 1) -> DataFrame:
+def _met(vectors: DataFrame, asked: DataFrame, cells: Cells, top: int, least: float, probes: int, query_step: int = 1, bound: float = BOUND) -> DataFrame:
     """(id, other, coarse): what may be among the `top` of each query by the cells it asks; of crowded queries exactly.
 
     asked: queries that are no members (surplus copies).
@@ -348,7 +348,7 @@ def _met(vectors: DataFrame, asked: DataFrame, cells: Cells, top: int, least: fl
     at = dict(cells=cells, member_blocks=member_blocks, query_blocks=query_blocks, probes=probes)
 
     def block(rows: pa.Table) -> pa.Table:
-        return nearest_in_block(rows, top, least)
+        return nearest_in_block(rows, top, least, bound=bound)
 
     def whole(rows: pa.Table) -> pa.Table:
         return exact_in_block(rows, top, least)
@@ -431,7 +431,7 @@ def k_nearest(rows: DataFrame, k: int = 10, query_step: int = 20, probes: int =
         return rows.sparkSession.createDataFrame([], "rowid long, rank int, neighbour long, cosine double")
     # A query that is a surplus copy is asked all the same.
     asked = usable(rows).where(F.col("id") % query_step == 0).join(vectors.select("id"), "id", "left_anti")
-    met = _met(vectors, asked, cells, k, -1.0, probes, query_step).groupBy("id", "other").agg(F.max("coarse").alias("coarse"))
+    met = _met(vectors, asked, cells, k, -1.0, probes, query_step, QUERY_BOUND).groupBy("id", "other").agg(F.max("coarse").alias("coarse"))
     # Of the k nearest of every cell only those that may be among the k nearest of all.
     first = Window.partitionBy("id").orderBy(F.desc("coarse"), "other")
     met = met.withColumn("at", F.row_number().over(first))
@@ -455,10 +455,13 @@ def p3_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p3_nearest": p3_nearest}
 # Every pair by brute force; the tables of the comparison are small enough for that.
+_USABLE_SQL = f"""u AS (SELECT DISTINCT rowid AS id, CAST(embedding AS DOUBLE[]) AS v FROM vec_chunks WHERE len(embedding) = {DIMENSIONS}
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
 SQL = {
-    "p3_found": f"""WITH u AS (SELECT DISTINCT rowid AS id, CAST(embedding AS DOUBLE[]) AS v FROM vec_chunks WHERE len(embedding) = {DIMENSIONS}
-        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    "p3_found": f"""WITH {_USABLE_SQL},
       near AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= {LINK_COSINE}),
       top AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM near) WHERE r <= {LINK_TOP})
-      SELECT least(a, b) AS rowid_a, greatest(a, b) AS rowid_b FROM top GROUP BY ALL HAVING count(*) = 2"""
+      SELECT least(a, b) AS rowid_a, greatest(a, b) AS rowid_b FROM top GROUP BY ALL HAVING count(*) = 2""",
+    "p3_nearest": f"""WITH {_USABLE_SQL}, near AS (SELECT a.id AS rowid, b.id AS neighbour, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.id <> b.id WHERE a.id % 20 = 0)
+      SELECT rowid, CAST(rank AS INTEGER) AS rank, neighbour, round(s, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY rowid ORDER BY round(s, 12) DESC, neighbour) AS rank FROM near) WHERE rank <= 10""",
 }

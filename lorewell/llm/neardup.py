@@ -491,7 +491,7 @@ _PAIRS_SQL = f"""w AS (SELECT DISTINCT id, {_WORDS_SQL.format("content")} AS w F
       UNION ALL SELECT 'document', a, b FROM dc JOIN dn x ON x.id = a JOIN dn y ON y.id = b WHERE 10 * k >= 6 * (x.n + y.n - k))"""
 SQL = {
     "p5_found": f"WITH {_PAIRS_SQL} SELECT * FROM pairs",
-    "p5_groups": f"""WITH RECURSIVE {_PAIRS_SQL}, both AS (SELECT entity, id_a AS u, id_b AS v FROM pairs UNION SELECT entity, id_b, id_a FROM pairs),
-      walk AS (SELECT DISTINCT entity, u AS id, u AS seen FROM both UNION SELECT walk.entity, walk.id, both.v FROM walk JOIN both ON both.entity = walk.entity AND both.u = walk.seen)
+    "p5_groups": f"""WITH RECURSIVE {_PAIRS_SQL}, ends AS (SELECT entity, id_a AS u, id_b AS v FROM pairs UNION SELECT entity, id_b, id_a FROM pairs),
+      walk AS (SELECT DISTINCT entity, u AS id, u AS seen FROM ends UNION SELECT walk.entity, walk.id, ends.v FROM walk JOIN ends ON ends.entity = walk.entity AND ends.u = walk.seen)
       SELECT entity, id, min(seen) AS group_id FROM walk GROUP BY ALL""",
 }
