@@ -269,8 +269,7 @@ def exact_in_block(block: pa.Table, top: int, least: float, query_batch: int = 6
     of = {True: [], False: []}
     for member, packed in zip(block.column("member").to_pylist(), block.column("rows").to_pylist()):
         of[member].append(packed)
-    rows, asked = np.frombuffer(b"".join(of[True]), WHOLE), np.frombuffer(b"".join(of[False]), WHOLE)
-    rows = rows[np.argsort(rows["id"], kind="stable")]
+    rows, asked = _once(np.frombuffer(b"".join(of[True]), WHOLE)), _once(np.frombuffer(b"".join(of[False]), WHOLE))
     out: list[tuple[np.ndarray, ...]] = []
     if len(rows) and len(asked):
         ids, x, y = rows["id"], rows["v"].astype(np.float64), asked["v"].astype(np.float64)
@@ -288,12 +287,17 @@ def exact_in_block(block: pa.Table, top: int, least: float, query_batch: int = 6
     return pa.table({"id": a, "other": b, "coarse": c})
 
 
+def _once(records: np.ndarray) -> np.ndarray:
+    """The records by id, rows delivered twice once, so that they take one place among the nearest."""
+    return records[np.unique(records["id"], return_index=True)[1]]
+
+
 def nearest_in_block(block: pa.Table, top: int, least: float, query_batch: int = 256, bound: float = BOUND) -> pa.Table:
     """(id, other, coarse) of each query's `top` nearest members whose cosine may reach `least`; other is null where they are more than DENSE."""
     of = {True: [], False: []}
     for member, packed in zip(block.column("member").to_pylist(), block.column("rows").to_pylist()):
         of[member].append(packed)
-    rows, asked = np.frombuffer(b"".join(of[True]), MEMBER), np.frombuffer(b"".join(of[False]), QUERY)
+    rows, asked = _once(np.frombuffer(b"".join(of[True]), MEMBER)), _once(np.frombuffer(b"".join(of[False]), QUERY))
     out_q, out_m, out_s = [], [], []
     if len(rows) and len(asked):
         turn = rotation()

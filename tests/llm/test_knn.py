@@ -133,3 +133,10 @@ def test_k_nearest_by_cells(spark):
         s[q] = -2
         hits += len(set(np.argsort(-s)[:5].tolist()) & {r.neighbour for r in got if r.rowid == q})
     assert hits >= 0.95 * 5 * 300
+
+
+def test_rows_delivered_twice_take_one_place(spark):
+    x = np.random.default_rng(12).normal(size=(400, 64)).astype("float32")
+    twice = _frame(spark, np.concatenate([x, x]), [*range(400), *range(400)])
+    once = {(r.rowid, r.rank, r.neighbour) for r in knn.k_nearest(_frame(spark, x), k=3).collect()}
+    assert {(r.rowid, r.rank, r.neighbour) for r in knn.k_nearest(twice, k=3).collect()} == once
