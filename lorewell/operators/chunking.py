@@ -66,32 +66,32 @@ _SENTENCES = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 
 def semantic_pieces(text: str, max_tokens: int = 512) -> list[Piece]:
     """Sentences packed up to the limit; a sentence that is longer is cut at its last space before it."""
-    limit, out, held, size = 4 * max_tokens, [], [], 0
-
-    def flush() -> None:
-        nonlocal held, size
-        if held:
-            out.append((" ".join(held), len(out), "text"))
-        held, size = [], 0
-
-    sentences = [s.strip() for part in _SENTENCES.split(text) for s in part.split("\n\n") if s.strip()]
-    for sentence in sentences:
+    limit, room = 4 * max_tokens, -1  # what the last piece still takes; below 0 it takes nothing
+    made: list[tuple[list[str], str]] = []
+    sentences = (s.strip() for part in _SENTENCES.split(text) for s in part.split("\n\n"))
+    for sentence in filter(None, sentences):
         if len(sentence) > limit:
-            flush()
-            while len(sentence) > limit:
-                cut = sentence.rfind(" ", 0, limit)
-                cut = cut if cut > 0 else limit
-                out.append((sentence[:cut].strip(), len(out), "split"))
-                sentence = sentence[cut:].strip()
-            if sentence:
-                out.append((sentence, len(out), "split"))
+            made += [([part], "split") for part in _at_spaces(sentence, limit)]
+            room = -1
+            continue
+        if len(sentence) < room:
+            made[-1][0].append(sentence)
         else:
-            if size + len(sentence) + 1 > limit:
-                flush()
-            held.append(sentence)
-            size += len(sentence) + 1
-    flush()
-    return out
+            made.append(([sentence], "text"))
+            room = limit
+        room -= len(sentence) + 1
+    return [(" ".join(parts), i, kind) for i, (parts, kind) in enumerate(made)]
+
+
+def _at_spaces(sentence: str, limit: int) -> Iterator[str]:
+    start = 0
+    while len(sentence) - start > limit:
+        space = sentence.rfind(" ", start + 1, start + limit)
+        end = space if space > 0 else start + limit
+        yield sentence[start:end].strip()
+        start = end + len(sentence[end:]) - len(sentence[end:].lstrip())
+    if start < len(sentence):
+        yield sentence[start:]
 
 
 def paragraph_pieces(text: str, max_tokens: int = 512) -> list[Piece]:
