@@ -5,9 +5,9 @@ signature. A text looks for partners under its longest prefix first; the prefix
 tries together meet a pair at the threshold with probability TARGET. Every text gets there, however many
 texts share its prefixes: the depth follows from threshold, TRIES and TARGET alone (`full_depth`). In SHORT
 of the tries it is shortened further where at most BUCKET texts share a still shorter prefix, which costs
-little and brings the recall near 1. Texts under one prefix are compared whole, whatever their number. Pairs must also agree in a
-128-bit sketch (2 bits of 64 minima) to within SKETCH_DEVIATIONS deviations of the threshold; whatever
-passes is verified on the exact sets of word runs.
+little and brings the recall near 1. Texts under one prefix are compared whole, whatever their number.
+Pairs must also agree in a 128-bit sketch (2 bits of 64 minima) to within SKETCH_DEVIATIONS deviations of
+the threshold; whatever passes is verified on the exact sets of word runs.
 
 Recall: a pair of similarity s shares a prefix of d minima in one trie with probability s**d, so at least
 1 - (1 - s**d)**TRIES of the pairs are met, d being the full depth: 0.998 at s = 0.5 with d = 3, 0.9999 at
