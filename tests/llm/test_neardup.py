@@ -86,8 +86,8 @@ def test_recall_at_the_threshold_does_not_depend_on_the_size_of_a_family(n):
 
 
 def test_recall_where_very_many_texts_share_minima(spark):
-    # 10,000 texts with boilerplate in common (similarity 0.24), and pairs at 0.5 among them.
-    boiler = [" ".join(f"p{j}" for j in range(42)) + " " + " ".join(f"b{i}x{j}" for j in range(64)) for i in range(10_000)]
+    # 10,000 texts with boilerplate in common (similarity 0.16), and pairs at 0.5 among them.
+    boiler = [" ".join(f"p{j}" for j in range(30)) + " " + " ".join(f"b{i}x{j}" for j in range(76)) for i in range(10_000)]
     pairs = [(f"{t}", f"{t}") for t in boiler[:150]]
     rows = [(i, t, 0) for i, t in enumerate(boiler)]
     for i in range(150):
